@@ -78,6 +78,13 @@ def crc_mod(doc_id, modulus: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def first_by_hash(rows: DataFrame, total: int, k: int) -> DataFrame:
+    """At most k of `total` rows, the first by a hash of doc_id; a threshold on the hash leaves about 1.5 k of them to sort."""
+    share = min(1.0, (1.5 * k + 20) / max(1, total))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    return rows.where(h < int(share * (1 << 32))).withColumn("_h", h).sort("_h", "doc_id").limit(k).drop("_h")
+
+
 class Memo(dict):
     """A dict that computes missing entries and forgets all of them at a bound, so a worker's memory is bounded."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, exact, language, minhash, shard
+from . import bpe, chains, common, decontaminate, exact, language, minhash, quality, shard, suffix, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -29,6 +29,14 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
+def op5_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.fuzzy_passages(common.table(spark, sf_dir, "documents"))
+
+
 def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(common.table(spark, sf_dir, "documents")).drop("locator")
 
@@ -39,12 +47,26 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = common.crc_mod(F.col("doc_id"), 5) == 0
+    grammar = toxicity.train(docs, common.table(spark, sf_dir, "labels"), ~held)
+    return toxicity.score(docs.withColumn("held_out", held), grammar, ["doc_id", "held_out"])
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = common.crc_mod(F.col("doc_id"), 3) == 1
+    ranker = quality.train(docs, common.table(spark, sf_dir, "labels"), ~held)
+    return quality.score(docs.withColumn("held_out", held), ranker, ["doc_id", "held_out"])
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_language, op3_shards, op6_exact, op7_bpe, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_minhash, op2_language, op3_shards, op4_suffix, op5_chains, op6_exact, op7_bpe, op8_toxicity, op9_quality, op10_decontaminate)}
 
 
 def _crc_table() -> list[int]:
