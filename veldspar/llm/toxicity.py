@@ -155,39 +155,56 @@ class Grammar:
         return learn.sigmoid(float(self.vector(self.clauses(low), len(words)) @ self.model))
 
 
-def lexicon(texts: list[str], y: np.ndarray) -> dict[str, float]:
-    """Words and word beginnings that toxic texts have far more often, with their log odds less one standard error."""
-    ones, zeros = Counter(), Counter()
+FOLDS = 4
+
+
+def lexica(texts: list[str], y: np.ndarray, fold: np.ndarray) -> list[dict[str, float]]:
+    """Words and word beginnings that toxic texts have far more often, with their log odds less one standard error.
+
+    One lexicon without each fold, and last that of all texts.
+    """
+    ones, zeros = [Counter() for _ in range(FOLDS)], [Counter() for _ in range(FOLDS)]
     count = lambda t: {u for w in set(WORD.findall(t.lower())) for u in units(w)}
-    for t, label in zip(texts, y, strict=True):
+    for t, label, f in zip(texts, y, fold, strict=True):
         if label:
-            ones.update(count(t))
-    wanted = {u for u, n in ones.items() if n >= LEAST_DF}
-    for t, label in zip(texts, y, strict=True):
+            ones[f].update(count(t))
+    all_ones = sum(ones, Counter())
+    wanted = {u for u, n in all_ones.items() if n >= LEAST_DF}
+    for t, label, f in zip(texts, y, fold, strict=True):
         if not label:
-            zeros.update(count(t) & wanted)
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    out = {}
-    for u in wanted:
-        a, b = ones[u] + 0.5, zeros[u] + 0.5
-        odds, error = math.log(a / (n1 + 1)) - math.log(b / (n0 + 1)), math.sqrt(1 / a + 1 / b)
-        if odds - error >= LEAST_ODDS - 1 and odds >= LEAST_ODDS and odds / error >= LEAST_Z:
-            out[u] = odds - error
+            zeros[f].update(count(t) & wanted)
+    all_zeros = sum(zeros, Counter())
+    out = []
+    for f in range(FOLDS + 1):
+        inside = np.ones(len(y), bool) if f == FOLDS else fold != f
+        n1, n0 = max(1, int(y[inside].sum())), max(1, int((1 - y[inside]).sum()))
+        found = {}
+        for u in wanted:
+            a, b = all_ones[u], all_zeros[u]
+            if f < FOLDS:
+                a, b = a - ones[f][u], b - zeros[f][u]
+            if a < LEAST_DF:
+                continue
+            a, b = a + 0.5, b + 0.5
+            odds, error = math.log(a / (n1 + 1)) - math.log(b / (n0 + 1)), math.sqrt(1 / a + 1 / b)
+            if odds >= LEAST_ODDS and odds - error >= LEAST_ODDS - 1 and odds / error >= LEAST_Z:
+                found[u] = odds - error
+        out.append(found)
     return out
 
 
 def fit(rows: list[tuple[str, int]]) -> Grammar:
-    """rows (text, label): the lexicon is learned from two thirds of them, the weights of the kinds from the rest."""
+    """rows (text, label): the kinds' weights are learned on marks that the lexicon of the other folds finds; the final lexicon is that of all rows."""
     texts, y = [t or "" for t, _ in rows], np.array([v for _, v in rows], float)
-    part = np.arange(len(rows)) % 3 < 2
-    g = Grammar(lexicon([t for t, p in zip(texts, part, strict=True) if p], y[part]))
-    x = np.array([g.features(t) for t, p in zip(texts, part, strict=True) if not p]) if (~part).any() else np.zeros((0, len(KINDS) + 5))
-    if len(x) and 0 < y[~part].sum() < len(x):
-        model = learn.logistic(x, y[~part])
+    fold = np.arange(len(rows)) % FOLDS
+    *parts, whole = lexica(texts, y, fold)
+    if 0 < y.sum() < len(y):
+        grammars = [Grammar(p) for p in parts]
+        model = learn.logistic(np.array([grammars[f].features(t) for t, f in zip(texts, fold, strict=True)]), y)
     else:
         model = np.zeros(len(KINDS) + 5)
         model[-5], model[-1] = 1.0, -3.0
-    return Grammar(g.weights, model)
+    return Grammar(whole, model)
 
 
 def train(docs: DataFrame, labels: DataFrame, train, per_class: int = learn.PER_CLASS) -> Grammar:
