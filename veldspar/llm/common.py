@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -13,12 +14,39 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch. Texts are whole, so batches are kept short to bound a worker's memory.
 ARROW_ROWS = 256
 
+#: Lets the planner thin the text scan by the ids that it is joined with, at any size of the input.
+BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+
 
 def tune(spark: SparkSession) -> None:
     """Bound Arrow batches by rows, since one row may hold a very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Session settings for the plans that are built and run inside."""
+    was = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """Rows (doc_id, text, and wanted's columns) of docs whose doc_id is in `wanted` (id, ...).
+
+    `wanted` is stored with a constant to filter on: then the planner builds a Bloom filter of bounded size
+    from its ids, which thins the scan of the texts before their exchange. Use it inside settings(BLOOM).
+    """
+    wanted = stored(wanted.withColumn("_one", F.lit(1)), name).where("_one > 0").hint("merge")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") if dict(docs.dtypes).get("doc_id") != "bigint" else docs.select("doc_id", "text")
+    return rows.join(wanted, F.col("doc_id") == F.col("id")).drop("_one", "id")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -152,7 +152,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     buckets = common.stored(keys.join(shared, "key").withColumn("component", F.col("id")), "buckets")
     members = buckets.select("id").distinct()
-    sets = common.stored(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id"), width), "sets")
+    with common.settings(docs.sparkSession, common.BLOOM):
+        sets = common.stored(shingle_sets(common.texts_of(docs, members, "members").withColumnRenamed("doc_id", "id"), width), "sets")
     links, parts = None, None
     tested = None
     for step in range(HUB_ROUNDS + 1):

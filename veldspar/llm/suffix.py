@@ -12,7 +12,7 @@ surroundings collapse to one member of a bucket; a bucket of more than MOST_MEMB
 surroundings is resolved window by window, counted with partial sums, so no task holds it whole.
 
 Defined cases: a null text is empty; texts shorter than `length` have nothing removed; rows that repeat
-a doc_id with equal text count as copies of each other; rows without doc_id are treated alike.
+a doc_id with equal text count as copies of each other; nothing is removed from rows without doc_id but whole copies.
 """
 
 from __future__ import annotations
@@ -213,10 +213,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     inside = rows.where("n > 1").select("doc_id", F.col("a").cast("long").alias("start"), (F.col("b") + length).cast("long").alias("stop"))
     fine = rows.where("m > 1 and (n = 1 or (first.doc_id <=> doc_id and first.p = p))")
     lists = fine.groupBy("doc_id").agg(F.collect_list(F.struct("h", "p", "a", "b", "m", (F.col("n") == 1).alias("single"))).alias("f"))
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
-    members = raw.join(lists, "doc_id").select("doc_id", "t", F.explode("f").alias("f"))
-    members = members.select("doc_id", "f.h", "f.p", "f.m", "f.single", F.expr("substring(t, f.a + 1, f.p - f.a)").alias("l"), F.expr(f"substring(t, f.p + 1, f.b + {length} - f.p)").alias("r"))
-    members = common.stored(members, "members")
+    with common.settings(docs.sparkSession, common.BLOOM):
+        members = common.texts_of(docs, lists.withColumnRenamed("doc_id", "id"), "lists").select("doc_id", F.col("text").cast("binary").alias("t"), F.explode("f").alias("f"))
+        members = members.select("doc_id", "f.h", "f.p", "f.m", "f.single", F.expr("substring(t, f.a + 1, f.p - f.a)").alias("l"), F.expr(f"substring(t, f.p + 1, f.b + {length} - f.p)").alias("r"))
+        members = common.stored(members, "members")
     spans = inside.unionByName(_small_buckets(members.where(f"m <= {MOST_MEMBERS}"), length))
     if not (large := members.where(f"m > {MOST_MEMBERS}")).isEmpty():
         spans = spans.unionByName(_large_buckets(large, length))
@@ -242,7 +242,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     parts = profiles.select("doc_id", "n_bytes", "sha256", "copies").withColumn("whole", F.expr(f"copies > 1 and n_bytes >= {length}"))
     empty = hashlib.sha256(b"").hexdigest()
     cut = parts.where("not whole").join(lists, "doc_id").select("doc_id", "spans").dropDuplicates(["doc_id"])
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(cut, "doc_id")
     names = ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def run(batches):
@@ -256,7 +255,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary())], names)
 
-    done = raw.mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    with common.settings(docs.sparkSession, common.BLOOM):
+        raw = common.texts_of(docs, cut.withColumnRenamed("doc_id", "id"), "cut").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
+        done = common.stored(raw.mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary"), "done")
     changed = parts.where("not whole").join(done, "doc_id", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "kept")
     whole = parts.where("whole").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"), F.lit(b"").alias("kept"))
     out = changed.unionByName(whole)
