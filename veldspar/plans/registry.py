@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from . import retrieval
+
+MODULES = [retrieval]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.fuse_store_policy(spark, sf_dir)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.queries.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in MODULES for k, v in m.sql.items()}
