@@ -43,10 +43,7 @@ class DedupState:
         spark, out = self.spark, f"{self.folder}/out"
         # without preallocation, a store of few keys takes kilobytes of disk instead of 4 MB
         wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
-        was = {k: spark.conf.get(k, None) for k in wanted}
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        try:
+        with common.settings(spark, wanted):
             rows = spark.readStream.schema(schema).parquet(path)
             state = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("last"), F.count(F.lit(1)).alias("group_size"))
             state = state.select("digest", F.col("last.doc_id").alias("keep_id"), F.col("last.locator").alias("locator"), "group_size")
@@ -54,9 +51,6 @@ class DedupState:
             query = state.writeStream.outputMode("update").option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True)
             query = query.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
             query.awaitTermination()
-        finally:
-            for k, v in was.items():
-                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         kinds = "digest string, keep_id long, locator string, group_size long, batch int"
         return spark.read.schema(kinds).parquet(out)
 
@@ -75,9 +69,12 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     state = DedupState(spark).update(narrow._veldspar_path, narrow.schema)
     state = latest(state)
     groups = common.stored(state.where("group_size > 1"), "groups")
-    # full bytes on hits: every member of a group against the text of the row that stays
-    hits = text.withColumn("digest", digest(F.col("t")).cast("string")).join(groups.select("digest", "keep_id"), "digest")
-    keepers = hits.where("doc_id <=> keep_id").groupBy("digest").agg(F.max("t").alias("keeper"))
+    # full bytes on hits: every member of a group against the text of the row that stays. Only the texts of
+    # groups are moved: a runtime Bloom filter on their ids, of bounded size, thins the scan before the exchange
+    members = common.stored(narrow.join(groups.select("digest", "keep_id", "group_size"), "digest").select(F.col("doc_id").alias("id"), "digest", "keep_id", "group_size"), "hit-ids")
+    with common.settings(spark, common.BLOOM):
+        hits = common.stored(docs.select("doc_id", "text").join(members.where("group_size > 1").hint("merge"), F.col("doc_id") == F.col("id")).select("digest", F.col("id").alias("doc_id"), "keep_id", normalised(F.col("text")).alias("t")), "hits")
+    keepers = hits.where("doc_id = keep_id").groupBy("digest").agg(F.max("t").alias("keeper"))
     odd = common.stored(hits.join(keepers, "digest").where("t <> keeper").select("digest").distinct(), "odd")
     clash = not odd.isEmpty()
     rows = narrow.select("doc_id", "digest", "text_sha256", "locator")
