@@ -39,11 +39,10 @@ LETTER = re.compile(r"[^\W\d_]")
 def fit(docs: DataFrame, train, per_language: int = PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """Dictionaries by language, from the rows of docs (text, lang, doc_id) where `train` holds."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    names = [r.lang for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).sort(F.desc("n"), "lang").limit(256).collect()]
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).sort(F.desc("n"), "lang").limit(256).collect()}
     found: dict[str, list[bytes]] = {}
-    for name in sorted(names):
-        # a bounded top by hash: no shuffle of texts, and the same rows in every run
-        part = rows.where(F.col("lang") == name).select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, 4096).alias("t")).sort("h", "t").limit(per_language)
+    for name, n in sorted(counts.items()):
+        part = common.first_by_hash(rows.where(F.col("lang") == name).select("doc_id", F.substring("text", 1, 4096).alias("t")), n, per_language)
         found[name] = [r.t.encode() for r in part.collect()]
     out = {}
     for name, texts in found.items():
