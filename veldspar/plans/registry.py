@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval
+from . import graphs, retrieval
 
-MODULES = [retrieval]
+MODULES = [retrieval, graphs]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,39 +32,40 @@ def query(oracle: str | None = None):
     return keep
 
 
-q = V.literal(QUERY)
+def q():
+    return V.literal(QUERY)
 
 
 @query(f"select vec_id as doc_id, round(-{D2}, 6) as score from embeddings order by score desc, doc_id limit 10")
 def vec_topk_exact(spark, d):
-    return V.top_k(T.vectors(spark, d), q, 10, digits=6).select("doc_id", "score")
+    return V.top_k(T.vectors(spark, d), q(), 10, digits=6).select("doc_id", "score")
 
 
 @query(f"select vec_id as doc_id, round(-{D2}, 6) as score from embeddings where label = 1 order by score desc, doc_id limit 10")
 def vec_topk_filtered(spark, d):
     rows = P.where(T.vectors(spark, d), P.Eq("label", 1))
-    return V.top_k(rows, q, 10, digits=6).select("doc_id", "score")
+    return V.top_k(rows, q(), 10, digits=6).select("doc_id", "score")
 
 
 @query(f"select vec_id as doc_id, round(-{D2}, 6) as score from embeddings where vec_id in (select doc_id from labels where quality = 1) order by score desc, doc_id limit 10")
 def vec_topk_eligible(spark, d):
     ids = T.read(spark, d, "labels").where("quality = 1").select("doc_id")
-    return V.top_k(P.where(T.vectors(spark, d), eligible=ids), q, 10, digits=6).select("doc_id", "score")
+    return V.top_k(P.where(T.vectors(spark, d), eligible=ids), q(), 10, digits=6).select("doc_id", "score")
 
 
 @query(f"select vec_id as doc_id, round({DOT}, 6) as score from embeddings order by score desc, doc_id limit 10")
 def vec_topk_dot(spark, d):
-    return V.top_k(T.vectors(spark, d), q, 10, metric="dot", digits=6).select("doc_id", "score")
+    return V.top_k(T.vectors(spark, d), q(), 10, metric="dot", digits=6).select("doc_id", "score")
 
 
 @query(f"select label, doc_id, score, nth from (select *, row_number() over (partition by label order by score desc, doc_id) nth from (select label, vec_id doc_id, round(-{D2}, 6) score from embeddings)) where nth <= 3")
 def vec_topk_per_label(spark, d):
-    return V.top_k_by_group(T.vectors(spark, d), q, 3, "label", digits=6).select("label", "doc_id", "score", F.col("nth").cast("long").alias("nth"))
+    return V.top_k_by_group(T.vectors(spark, d), q(), 3, "label", digits=6).select("label", "doc_id", "score", F.col("nth").cast("long").alias("nth"))
 
 
 @query(f"select doc_id, score from (select vec_id doc_id, round({DOT}, 1) score, rank() over (order by round({DOT}, 1) desc) r from embeddings) where r <= 10")
 def vec_topk_ties(spark, d):
-    return V.top_k_with_ties(T.vectors(spark, d), q, 10, metric="dot", digits=1).select("doc_id", "score")
+    return V.top_k_with_ties(T.vectors(spark, d), q(), 10, metric="dot", digits=1).select("doc_id", "score")
 
 
 @query(
@@ -74,7 +75,7 @@ def vec_topk_ties(spark, d):
     select vec_id doc_id, round(-{D2}, 6) score from k order by score desc, doc_id limit 10"""
 )
 def vec_quantized_rescore(spark, d):
-    return V.rescored_top_k(T.vectors(spark, d), q, 10, 4, digits=6).select("doc_id", "score")
+    return V.rescored_top_k(T.vectors(spark, d), q(), 10, 4, digits=6).select("doc_id", "score")
 
 
 @query(f"select round(max(n), 6) max_norm, round(pow(max(n) + {sum(x * x for x in QUERY) ** 0.5!r}, 2), 6) ceiling from (select sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) n from embeddings)")
@@ -312,7 +313,7 @@ def lex_fuzzy(spark, d):
 
 
 def _legs(spark, d):
-    vector = V.scored(T.vectors(spark, d), q).select("doc_id", "score")
+    vector = V.scored(T.vectors(spark, d), q()).select("doc_id", "score")
     lexical = L.scores(_index(spark, d), L.query_terms(spark, TERMS))
     return vector.orderBy(F.desc("score"), "doc_id").limit(50), lexical.orderBy(F.desc("score"), "doc_id").limit(50)
 
@@ -335,7 +336,7 @@ def fuse_convex(spark, d):
 
 
 def _store_legs(spark, d):
-    vector = V.scored(T.vectors(spark, d), q).select("doc_id", "score")
+    vector = V.scored(T.vectors(spark, d), q()).select("doc_id", "score")
     return vector, L.scores(_index(spark, d), L.query_terms(spark, TERMS)), V.ceiling(T.vectors(spark, d), QUERY)
 
 

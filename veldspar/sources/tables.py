@@ -28,10 +28,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, labels, key, name, balance, segment): customers, orders, suppliers, parts, nations and regions."""
     table = lambda n: read(spark, sf_dir, n)
 
-    def rows(name, label, base, key, **columns):
+    def rows(source, label, base, key, **columns):
         value = {"name": F.lit(None).cast("string"), "balance": F.lit(None).cast("double"), "segment": F.lit(None).cast("string")} | {k: F.col(v) for k, v in columns.items()}
         k = F.col(key).cast("long")
-        return table(name).select((k + base).alias("id"), F.array(F.lit(label)).alias("labels"), k.alias("key"), *(v.alias(n) for n, v in value.items()))
+        return table(source).select((k + base).alias("id"), F.array(F.lit(label)).alias("labels"), k.alias("key"), *(v.alias(n) for n, v in value.items()))
 
     parts = [
         rows("region", "Region", REGION, "r_regionkey", name="r_name"),
@@ -57,7 +57,8 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
         table("customer").select((c("c_custkey") + IN_NATION).alias("rel_id"), (c("c_custkey") + CUSTOMER).alias("src"), (c("c_nationkey") + NATION).alias("dst"), F.lit("IN_NATION").alias("type"), none.alias("weight")),
         table("nation").select((c("n_nationkey") + IN_REGION).alias("rel_id"), (c("n_nationkey") + NATION).alias("src"), (c("n_regionkey") + REGION).alias("dst"), F.lit("IN_REGION").alias("type"), none.alias("weight")),
         table("supplier").select((c("s_suppkey") + LOCATED).alias("rel_id"), (c("s_suppkey") + SUPPLIER).alias("src"), (c("s_nationkey") + NATION).alias("dst"), F.lit("LOCATED").alias("type"), none.alias("weight")),
-        table("lineitem").select((c("l_orderkey") * 10 + c("l_linenumber") + CONTAINS).alias("rel_id"), (c("l_orderkey") + ORDER).alias("src"), (c("l_partkey") + PART).alias("dst"), F.lit("CONTAINS").alias("type"), F.col("l_quantity").alias("weight")),
+        # a relationship for each order and part, as lines repeat their numbers
+        table("lineitem").groupBy(c("l_orderkey").alias("o"), c("l_partkey").alias("p")).agg(F.sum("l_quantity").alias("weight")).select((F.col("o") * 10**7 + F.col("p") + CONTAINS).alias("rel_id"), (F.col("o") + ORDER).alias("src"), (F.col("p") + PART).alias("dst"), F.lit("CONTAINS").alias("type"), "weight"),
     ]
     out = parts[0]
     for p in parts[1:]:
