@@ -156,7 +156,6 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | No
     keep = ["doc_id"] if keep is None else keep
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
     docs = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep and f.name not in names)
     kept = [k for k in keep if k not in names]
 
     def run(batches):
@@ -167,4 +166,4 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | No
             cols = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(c.decode(x)) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *cols], [*kept, *names])
 
-    return docs.mapInArrow(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(run, common.schema_of(docs, kept, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}))

@@ -10,6 +10,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in one Arrow batch. Texts are whole, so batches are kept short to bound a worker's memory.
 ARROW_ROWS = 256
@@ -113,6 +114,25 @@ def first_by_hash(rows: DataFrame, total: int, k: int) -> DataFrame:
     return rows.where(h < int(share * (1 << 32))).withColumn("_h", h).sort("_h", "doc_id").limit(k).drop("_h")
 
 
+def schema_of(docs: DataFrame, keep: list[str], new: dict[str, str | T.DataType]) -> T.StructType:
+    """The kept columns of docs as they are, then the new ones by type."""
+    out = T.StructType([docs.schema[k] for k in keep])
+    for name, kind in new.items():
+        out.add(name, kind)
+    return out
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _rest): all other columns in one struct, so that no operator's column clashes with them."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None).cast("int")).alias("_rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, from packed rows."""
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in docs.columns))
+
+
 class Memo(dict):
     """A dict that computes missing entries and forgets all of them at a bound, so a worker's memory is bounded."""
 

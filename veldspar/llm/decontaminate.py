@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -100,10 +101,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], width:
     common.tune(spark)
     shared = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, block_bytes)]
     new = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean"}
-    new |= {"spans": "array<struct<start:long,stop:long>>"} if with_spans else {}
+    new |= {"spans": T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))} if with_spans else {}
     keep = [k for k in keep if k not in new]
     docs = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
@@ -119,4 +119,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], width:
                 cols.append(pa.array([[] if h is None else [{"start": a, "stop": b} for a, b in spans(t, h)] for t, (_, h, _) in zip(texts, found, strict=True)], span_type))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *cols], [*keep, *new])
 
-    return docs.mapInArrow(run, ", ".join([*kinds, *(f"{k} {v}" for k, v in new.items())]))
+    return docs.mapInArrow(run, common.schema_of(docs, keep, new))

@@ -8,8 +8,8 @@ Hits are then checked on full bytes against the row that stays; texts that only
 grouped again by their full text.
 
 Defined cases: a null text counts as empty; texts are equal when identical after lower-casing A-Z only;
-rows that repeat a doc_id with equal text stay or go together; rows without doc_id stay only if no
-row of their group has one; an empty table gives no rows.
+rows that repeat a doc_id with equal text stay or go together; rows without doc_id have nothing that names
+them, so they aren't compared by bytes, and count as kept only if no row of their group has a doc_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     clash = not odd.isEmpty()
     rows = narrow.select("doc_id", "digest", "text_sha256", "locator")
     if clash:
-        again = hits.join(odd, "digest").select("doc_id", "t", sha256(F.col("t")).alias("text_sha256"))
+        again = text.withColumn("digest", digest(F.col("t")).cast("string")).join(odd, "digest").select("doc_id", "t", sha256(F.col("t")).alias("text_sha256"))
         by_text = again.groupBy("t").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.first("text_sha256").alias("text_sha256"))
         regrouped = again.drop("text_sha256").join(by_text, "t").select("doc_id", "keep_id", "group_size", "text_sha256", F.lit(None).cast("string").alias("locator"))
         rows = rows.join(odd, "digest", "left_anti")

@@ -95,7 +95,6 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], m
     new = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
     keep = [k for k in keep if k not in new]
     docs = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep]
 
     def run(batches):
         j = judge_of(shared.value, level)
@@ -104,4 +103,4 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], m
             cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *cols], [*keep, *new])
 
-    return docs.mapInArrow(run, ", ".join([*kinds, *(f"{k} {v}" for k, v in new.items())]))
+    return docs.mapInArrow(run, common.schema_of(docs, keep, new))

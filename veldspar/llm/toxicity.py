@@ -224,7 +224,6 @@ def score(docs: DataFrame, grammar: Grammar, keep: list[str]) -> DataFrame:
     shared = spark.sparkContext.broadcast(pickle.dumps((grammar.weights, grammar.model)))
     keep = [k for k in keep if k not in ("score", "predicted")]
     docs = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep]
 
     def run(batches):
         g = _loaded(shared.value)
@@ -232,4 +231,4 @@ def score(docs: DataFrame, grammar: Grammar, keep: list[str]) -> DataFrame:
             got = [g.score(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(got, pa.float64()), pa.array([int(s >= 0.5) for s in got], pa.int32())], [*keep, "score", "predicted"])
 
-    return docs.mapInArrow(run, ", ".join([*kinds, "score double", "predicted int"]))
+    return docs.mapInArrow(run, common.schema_of(docs, keep, {"score": "double", "predicted": "integer"}))
