@@ -19,7 +19,8 @@ SIMILAR_PERCENT = 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.5 or more go. The grammar learns from the labelled documents that reach this stage."""
     grammar = toxicity.train(docs, common.table(spark, sf_dir, "labels"), F.lit(True))
-    return toxicity.score(docs, grammar, docs.columns).where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(common.packed(docs), grammar, ["doc_id", "text", "_rest"])
+    return common.unpacked(scored.where("predicted = 0"), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of ten words (or a whole shorter item) of the benchmark go."""
-    out = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"), docs.columns)
-    return out.where("not contaminated").select(*docs.columns)
+    out = decontaminate.decontaminate(common.packed(docs), common.table(spark, sf_dir, "benchmark"), ["doc_id", "text", "_rest"])
+    return common.unpacked(out.where("not contaminated"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
