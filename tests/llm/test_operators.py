@@ -223,9 +223,10 @@ def near_copies(draw, n):
     return out
 
 
-@pytest.mark.parametrize("most", [256, 3])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "block"), [(256, 256), (3, 256), (0, 5)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, most, block):
     monkeypatch.setattr(minhash, "MOST_PAIRS", most)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     texts = near_copies(random.Random(8), 14) + [None, "", " \t", "One Two", "one two", "one two three", "w " * 6000]
     rows = list(enumerate(texts))
     random.Random(1).shuffle(rows)

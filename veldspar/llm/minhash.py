@@ -7,8 +7,10 @@ counts only when the full shingle sets confirm it.
 Plan: one pass over the texts gives each document its set size, a digest of its set and its band
 hashes. Documents of equal sets collapse to the least id, so groups of copies cost nothing more. In
 each band bucket every member is compared with one hub (a star, never all pairs). Buckets that still
-hold several components get other hubs, drawn by a hash, and, once few pairs between components are
-left, exactly those pairs. So every candidate pair of a bucket ends confirmed, refuted or joined.
+hold several components then have what lies between those components compared: few pairs outright, and
+more in blocks of BLOCK members against each other, whose tasks count common shingles by matrix products
+and give back only links that join components. So every candidate pair of a bucket ends confirmed,
+refuted or joined, and no task holds more than two blocks of a group.
 
 With 25 bands of 5 values a pair at similarity 0.85 is missed with probability 4e-7.
 
@@ -29,9 +31,9 @@ from . import common, graph
 
 WIDTH = 5
 PERMUTATIONS, BANDS, ROWS = 64, 25, 5
-#: A bucket with at most so many pairs between its components has just those compared; others get hubs first.
-MOST_PAIRS = 256
-HUB_ROUNDS = 24
+#: A bucket with at most so many pairs between its components has just those compared; others go by blocks.
+MOST_PAIRS = 64
+BLOCK = 256
 
 _DRAW = np.random.Generator(np.random.PCG64(20240229))
 _A = _DRAW.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,11 +123,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("common") * 100 >= percent * (F.col("n") - F.col("common"))).select("a", "b")
 
 
-def _hub_pairs(buckets: DataFrame, salt: int) -> DataFrame:
-    """Each bucket's members with its hub: the least id at first, then others by a hash."""
-    order = F.struct(F.lit(0).cast("long") if not salt else F.xxhash64("id", F.lit(salt)), F.col("id"), F.col("n"), F.col("component"))
-    hubs = buckets.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"))
-    near = buckets.join(hubs, "key").where((F.col("id") != F.col("hub")) & (F.col("component") != F.col("hub_component")))
+def _hub_pairs(buckets: DataFrame) -> DataFrame:
+    """Each bucket's members with its least id."""
+    hubs = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    near = buckets.join(hubs, "key").where(F.col("id") != F.col("hub"))
     return near.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.least("n", "hub_n").alias("small"), F.greatest("n", "hub_n").alias("large"))
 
 
@@ -140,7 +141,78 @@ def _open_buckets(buckets: DataFrame) -> DataFrame:
     """Rows of the buckets that still hold several components, with the bucket's number of pairs between components."""
     parts = buckets.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     state = parts.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("m2"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    return buckets.join(state.select("key", ((F.col("m") * F.col("m") - F.col("m2")) / 2).cast("long").alias("pairs")), "key")
+    return buckets.join(state.select("key", "m", ((F.col("m") * F.col("m") - F.col("m2")) / 2).cast("long").alias("pairs")), "key")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of slices of their incidence matrices."""
+    values, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    shared = np.bincount(at, minlength=len(values)) > 1
+    column = np.cumsum(shared) - 1
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    use = shared[at]
+    row, at = row[use], column[at[use]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for low in range(0, int(shared.sum()), 2048):
+        a, b = np.searchsorted(at, [low, low + 2048])
+        m = np.zeros((len(left) + len(right), 2048), np.float32)
+        m[row[a:b], at[a:b] - low] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def _block_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components inside large open buckets, block against block."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = buckets.select("key", "id", "component", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def settle(i: int, j: int, held: list) -> list[tuple[int, int]]:
+        left = [x for x in held if x[2] == i]
+        right = [x for x in held if x[2] == j]
+        if not left or not right:
+            return []
+        n, m = (np.array([len(x[3]) for x in side]) for side in (left, right))
+        same = common_counts([x[3] for x in left], [x[3] for x in right])
+        apart = np.array([x[1] for x in left])[:, None] != np.array([x[1] for x in right])[None]
+        near = apart & (100 * same >= percent * (n[:, None] + m[None] - same))
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                c = up
+            return c
+
+        out = []
+        for a, b in np.argwhere(near).tolist():
+            x, y = top(left[a][1]), top(right[b][1])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((left[a][0], right[b][0]))
+        return out
+
+    def run(batches):
+        held, at = [], None
+
+        def packed(out):
+            cols = list(zip(*out, strict=True)) if out else [[], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+        for b in batches:
+            out = []
+            sets_of = b.column("s")
+            for k, row in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "id", "component", "block")), strict=True)):
+                if row[:3] != at:
+                    out += settle(at[1], at[2], held) if at else []
+                    held, at = [], row[:3]
+                held.append((*row[3:], sets_of[k].values.to_numpy()))
+            yield packed(out)
+        yield packed(settle(at[1], at[2], held) if at else [])
+
+    return rows.select("key", "i", "j", "id", "component", "block", "s").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
@@ -154,30 +226,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     members = buckets.select("id").distinct()
     with common.settings(docs.sparkSession, common.BLOOM):
         sets = common.stored(shingle_sets(common.texts_of(docs, members, "members").withColumnRenamed("doc_id", "id"), width), "sets")
-    links, parts = None, None
-    tested = None
-    for step in range(HUB_ROUNDS + 1):
-        open_ = buckets if not step else _open_buckets(buckets)
-        if not step:
-            pairs = _hub_pairs(open_, 0)
-        else:
-            open_ = common.stored(open_, "open")
-            few = open_.where(f"pairs <= {MOST_PAIRS}" if step < HUB_ROUNDS else "true")
-            many = open_.where(f"pairs > {MOST_PAIRS}" if step < HUB_ROUNDS else "false")
-            pairs = _cross_pairs(few).union(_hub_pairs(many, step))
-        pairs = pairs.where(f"100 * small >= {percent} * large").select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.stored(pairs, "pairs")
-        new = common.stored(_confirmed(pairs, sets, percent), "confirmed")
-        links = new if links is None else links.union(new)
-        tested = pairs if tested is None else tested.union(pairs)
-        none = new.isEmpty()
-        if step and none and many.isEmpty():
-            break
-        if not none:
-            parts = common.stored(graph.components(links).withColumnRenamed("component_id", "c"), "parts")
-            buckets = common.stored(buckets.drop("component").join(parts, "id", "left").select("id", "n", "key", F.coalesce("c", "id").alias("component")), "buckets")
+    near = lambda pairs: pairs.where(f"100 * small >= {percent} * large").select("a", "b").distinct()
+    links = common.stored(_confirmed(near(_hub_pairs(buckets)), sets, percent), "star-links")
+    parts = None
+    if not links.isEmpty():
+        parts = common.stored(graph.components(links).withColumnRenamed("component_id", "c"), "parts")
+        buckets = common.stored(buckets.drop("component").join(parts, "id", "left").select("id", "n", "key", F.coalesce("c", "id").alias("component")), "buckets")
+    open_ = common.stored(_open_buckets(buckets), "open")
+    more = _confirmed(near(_cross_pairs(open_.where(f"pairs <= {MOST_PAIRS}"))), sets, percent)
+    more = common.stored(more.union(_block_links(open_.where(f"pairs > {MOST_PAIRS}"), sets, percent)), "more-links")
+    if not more.isEmpty():
+        parts = common.stored(graph.components(links.union(more)).withColumnRenamed("component_id", "c"), "parts")
     classes = classes.select("digest", "id")
     if parts is not None:
         classes = classes.join(parts, "id", "left").select("digest", F.coalesce("c", "id").alias("component_id"))

@@ -92,15 +92,28 @@ SQL = {
         from w left join n on n.doc_id = w.doc_id left join m on m.doc_id = w.doc_id
     """,
     "op3_shards": f"""
-        with h as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
-        y as (select doc_id, list_transform(range(0, length(h) // 2), lambda i: cast((strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1 as bigint)) bytes from h),
-        crc as (select doc_id, xor(list_reduce(list_prepend(cast(4294967295 as bigint), bytes), lambda a, b: xor(a >> 8, (cast({_crc_table()} as bigint[]))[(xor(a, b) & 255) + 1])), 4294967295) text_crc32 from y),
+        with tb as (select cast({_crc_table()} as bigint[]) t),
+        y as (select doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: cast((strpos('0123456789ABCDEF', x[1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2]) - 1 as bigint)) bytes from documents),
+        crc as (select doc_id, xor(list_reduce(list_prepend(cast(4294967295 as bigint), bytes), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) text_crc32 from y, tb),
         s as (select doc_id, cast(octet_length(encode(coalesce(text, ''))) + 1 as bigint) size from documents),
         p as (select doc_id, size, cast(sum(size) over (order by doc_id) as bigint) upto, cast(sum(size) over () as bigint) al from s),
         q as (select *, cast(least(15, ((2 * upto - size) * 16) // (2 * al)) as integer) shard from p)
         select q.doc_id, size, text_crc32, 'bytes' law, shard, cast(row_number() over (partition by shard order by doc_id) - 1 as bigint) slot, cast(null as integer) grown_shard
         from q join crc using (doc_id)
     """,
+    "op4_suffix": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+        k as (select doc_id, i, md5(substr(h, 2 * i + 1, 400)) m from (select doc_id, h, unnest(range(0, len(h) // 2 - 199)) i from d where len(h) >= 400)),
+        r as (select m from k group by m having count(*) > 1),
+        c as (select doc_id, i, lag(i) over (partition by doc_id order by i) p from k where m in (select m from r)),
+        g as (select doc_id, i, sum(case when p is null or i - p > 200 then 1 else 0 end) over (partition by doc_id order by i) g from c),
+        s as (select doc_id, min(i) a, max(i) + 200 b from g group by doc_id, g.g),
+        e as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) z from s),
+        n as (select e.doc_id, sum(b - a) removed, count(*) spans, max(b) z, string_agg(substr(h, 2 * e.z + 1, 2 * (a - e.z)), '' order by a) kept from e join d on d.doc_id = e.doc_id group by e.doc_id)
+        select d.doc_id, cast(len(h) // 2 as bigint) n_bytes, cast(coalesce(removed, 0) as bigint) n_removed, coalesce(spans, 0) n_spans,
+               sha256(unhex(case when n.doc_id is null then h else kept || substr(h, 2 * z + 1) end)) kept_sha256
+        from d left join n on n.doc_id = d.doc_id
+    """,
     "op6_exact": f"""
         with t as (select doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) text_sha256 from documents)
         select doc_id, max(doc_id) over (partition by text_sha256) keep_id, count(*) over (partition by text_sha256) group_size,

@@ -163,14 +163,16 @@ def _small_buckets(members: DataFrame, length: int) -> DataFrame:
         held, key = [], None
 
         def settle(rows):
-            spans = {}
+            # all spans of a member hold its anchor, so their union is one span
+            widest = {}
             for left, right, who in maximal_repeats([(m[2][::-1], m[3]) for m in rows], length):
                 for i in who:
-                    spans.setdefault(i, set()).add((left, right))
-            for i, found in spans.items():
+                    a, b = widest.get(i, (0, 0))
+                    widest[i] = max(a, left), max(b, right)
+            for i, (a, b) in widest.items():
                 d, p, _, _, single = rows[i]
                 if single:
-                    yield from ((d, p - a, p + b) for a, b in found)
+                    yield d, p - a, p + b
 
         def packed(out):
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
