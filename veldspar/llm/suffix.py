@@ -7,9 +7,9 @@ suffixes an enhanced suffix array is built: sorted by what follows the anchor, w
 of neighbours. A stack scan gives its interval tree; in each interval the members' left extensions are
 compared, which yields the maximal repeats with all their occurrences.
 
-Skew: documents of equal text collapse to one before anything is compared; occurrences of equal
-surroundings collapse to one member of a bucket; a bucket of more than MOST_MEMBERS different
-surroundings is resolved window by window, counted with partial sums, so no task holds it whole.
+Skew: occurrences of equal surroundings, and so all copies of a text, collapse to one member of a bucket
+by partial sums before anything is compared; a bucket of more than MOST_MEMBERS different surroundings
+is resolved window by window, counted with partial sums, so no task holds it whole.
 
 Defined cases: a null text is empty; texts shorter than `length` have nothing removed; rows that repeat
 a doc_id with equal text count as copies of each other; nothing is removed from rows without doc_id but whole copies.
@@ -202,19 +202,24 @@ def _large_buckets(members: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(profiles of all rows; spans (doc_id, start, stop) of one document for each different text)."""
+    """(profiles of all rows; spans (doc_id, start, stop))."""
     found = common.stored(_profiles(docs, length), "anchors")
-    copies = found.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copies = common.stored(copies, "copies")
-    single = found.where("size(anchors) > 0").join(copies, "digest").where("doc_id <=> rep").dropDuplicates(["digest"])
-    marks = common.stored(single.select("doc_id", F.explode("anchors").alias("m")).select("doc_id", "m.*"), "marks")
-    same = marks.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "p")).alias("first"))
-    buckets = same.groupBy("h").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")).where("total > 1")
-    known = common.stored(same.join(buckets, "h").select("h", "c", "n", "m", "first"), "buckets")
-    rows = common.stored(marks.join(known, ["h", "c"]), "rows")
+    copies = common.stored(found.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies")
+    heads = common.stored(found.select("doc_id", "n_bytes", "digest", "sha256"), "heads")
+    marks = found.select("doc_id", F.explode("anchors").alias("m")).select("doc_id", "m.*")
+    # most seeds occur once: those are counted with partial sums and left behind before anything wider moves
+    again = marks.groupBy("h").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("h")
+    marks = common.stored(marks.join(again, "h"), "marks")
+    common.drop_stored(found)
+    place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "p"))
+    same = common.stored(marks.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "same")
+    buckets = same.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
+    rows = common.stored(marks.join(same.join(buckets, "h"), ["h", "c"]), "rows")
+    for x in (marks, same):
+        common.drop_stored(x)
     inside = rows.where("n > 1").select("doc_id", F.col("a").cast("long").alias("start"), (F.col("b") + length).cast("long").alias("stop"))
     fine = rows.where("m > 1 and (n = 1 or (first.doc_id <=> doc_id and first.p = p))")
-    lists = fine.groupBy("doc_id").agg(F.collect_list(F.struct("h", "p", "a", "b", "m", (F.col("n") == 1).alias("single"))).alias("f"))
+    lists = fine.groupBy("doc_id").agg(F.collect_set(F.struct("h", "p", "a", "b", "m", (F.col("n") == 1).alias("single"))).alias("f"))
     with common.settings(docs.sparkSession, common.BLOOM):
         members = common.texts_of(docs, lists.withColumnRenamed("doc_id", "id"), "lists").select("doc_id", F.col("text").cast("binary").alias("t"), F.explode("f").alias("f"))
         members = members.select("doc_id", "f.h", "f.p", "f.m", "f.single", F.expr("substring(t, f.a + 1, f.p - f.a)").alias("l"), F.expr(f"substring(t, f.p + 1, f.b + {length} - f.p)").alias("r"))
@@ -222,9 +227,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     spans = inside.unionByName(_small_buckets(members.where(f"m <= {MOST_MEMBERS}"), length))
     if not (large := members.where(f"m > {MOST_MEMBERS}")).isEmpty():
         spans = spans.unionByName(_large_buckets(large, length))
-    for x in (marks, known):
-        common.drop_stored(x)
-    return found.join(copies, "digest").select("doc_id", "n_bytes", "sha256", "copies"), spans
+    return heads.join(copies, "digest").select("doc_id", "n_bytes", "sha256", "copies"), spans
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
