@@ -7,6 +7,7 @@ from veldspar.operators import documents as D
 from veldspar.operators import fusion as H
 from veldspar.operators import lexical as L
 from veldspar.operators import predicates as P
+from veldspar.operators import requests as R
 from veldspar.operators import vector as V
 
 
@@ -168,3 +169,19 @@ def test_columns_of_functions(spark):
     assert df.select(bit4.encode_udf()(F.array(F.lit(1.0), F.lit(-1.0)).cast("array<float>")).alias("b")).first().b.codes == [12, 3]
 
 
+def test_requests(spark):
+    docs = spark.createDataFrame([(1, "quick brown fox", [1.0, 0.0], "a"), (2, "quick smith", [0.0, 1.0], "b"), (3, "smyth", [0.9, 0.1], "a"), (4, None, None, None)], "doc_id long, text string, vector array<float>, tag string")
+    ix = L.build(docs)
+    hits = lambda r, **o: [x.doc_id for x in L.top_k(R.lexical_scores(ix, r, **o), 10).collect()]
+    assert hits(R.Terms(("smith",))) == [2] and hits(R.Phrase(("quick", "fox"), 1)) == [1] and hits(R.Phrase(("quick", "fox"))) == []
+    assert sorted(hits(R.Prefix("sm"))) == [2, 3] and sorted(hits(R.TermsWithPrefix(("fox",), "smi"))) == [1, 2]
+    assert hits(R.Fuzzy("smoth", 1))[0] in (2, 3) and sorted(hits(R.Phonetic("smith"))) == [2, 3]
+    assert hits(R.Prefix("sm"), eligible=docs.where("doc_id = 3").select("doc_id")) == [3]
+    found = R.search(docs, 2, [1.0, 0.0], predicate=P.Eq("tag", "a"))
+    assert [(r.doc_id, r.lexical_bm25) for r in found.collect()] == [(1, None), (3, None)]
+    assert [r.doc_id for r in R.search(docs, 5, text=R.Terms(("quick",)), predicate=P.Not(P.Eq("tag", "a"))).collect()] == [2]
+    both = R.search(docs, 3, [0.0, 1.0], R.Terms(("smith",))).collect()
+    assert both[0].doc_id == 2 and both[0].score == pytest.approx(H.store_alpha(0.7) + 1 - H.store_alpha(0.7)) and both[0].vector_squared_l2 == 0
+    for bad in ({}, {"query": [1.0, 0.0], "k": 0}, {"query": [1.0, 0.0], "tier": "x"}, {"text": "fox"}):
+        with pytest.raises(ValueError):
+            R.search(docs, **bad)

@@ -41,3 +41,8 @@ def test_query_against_sql(spark, name):
 
 def test_entry(spark):
     assert registry.flagship(spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+def test_query_without_sql_has_rows(spark, name):
+    assert registry.queries()[name](spark, DATA).count() > 0

@@ -74,13 +74,19 @@ def top_k_by_group(df: DataFrame, query: Column, k: int, group: str, vector: str
     return scored(df, query, vector, "l2", digits).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
 
 
-def batch_top_k(df: DataFrame, queries: DataFrame, k: int, vector: str = "vector", key: str = "doc_id", query_key: str = "query_id", block: int = 4096) -> DataFrame:
+def finite(a: Column) -> Column:
+    """Whether no component is NaN or infinite."""
+    return F.forall(a, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def batch_top_k(df: DataFrame, queries: DataFrame, k: int, vector: str = "vector", key: str = "doc_id", query_key: str = "query_id", block: int = 4096, digits: int | None = None) -> DataFrame:
     """The k nearest rows for each of a stated set of queries (query_key, query), taken against all rows in blocks of queries."""
     n = queries.count()
     out = None
     for i in range(max(1, -(-n // block))):
         part = queries if n <= block else queries.where(F.pmod(F.xxhash64(query_key), F.lit(-(-n // block))) == i)
-        near = df.join(F.broadcast(part)).withColumn("score", -squared_l2(F.col(vector), F.col("query")))
+        score = -squared_l2(F.col(vector), F.col("query"))
+        near = df.join(F.broadcast(part)).withColumn("score", F.round(score, digits) if digits is not None else score)
         order = W.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
         near = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
         out = near if out is None else out.unionByName(near)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graphs, retrieval
+from . import extras, graphs, retrieval
 
-MODULES = [retrieval, graphs]
+MODULES = [retrieval, graphs, extras]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
