@@ -33,7 +33,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that shingles of five words link at a similarity of 0.8, the document with the least doc_id stays."""
+    """Of each group that shingles of five words link at a similarity of 0.8, the document with the least doc_id stays. All rows of a doc_id share its fate."""
     gone = minhash.near_duplicates(docs, SIMILAR_PERCENT).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").select(*docs.columns)
 
