@@ -208,12 +208,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     heads = common.stored(found.select("doc_id", "n_bytes", "digest", "sha256"), "heads")
     marks = found.select("doc_id", F.explode("anchors").alias("m")).select("doc_id", "m.*")
     # most seeds occur once: those are counted with partial sums and left behind before anything wider moves
-    again = marks.groupBy("h").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("h")
+    # counts are stored before they are joined, so that both sides of the join are exchanges that Spark can split at a hot seed
+    again = common.stored(marks.groupBy("h").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("h"), "again")
     marks = common.stored(marks.join(again, "h"), "marks")
     common.drop_stored(found)
     place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "p"))
     same = common.stored(marks.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "same")
-    buckets = same.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
+    buckets = common.stored(same.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "buckets")
     rows = common.stored(marks.join(same.join(buckets, "h"), ["h", "c"]), "rows")
     for x in (marks, same):
         common.drop_stored(x)
