@@ -345,6 +345,51 @@ def test_fuzzy_passages(spark):
     assert chains.fuzzy_passages(empty(spark)).count() == 0
 
 
+def _similar_windows(a, b, least, similarity):
+    """Brute force: is there a stretch of `least` words or more on any diagonal with so many words equal?"""
+    x, y = np.array(a), np.array(b)
+    for shift in range(least - len(b), len(a) - least + 1):
+        u, v = x[max(0, shift) :], y[max(0, -shift) :]
+        n = min(len(u), len(v))
+        total = np.concatenate(([0], np.cumsum(u[:n] == v[:n])))
+        for k in range(least, min(n, 2 * least) + 1):
+            if (total[k:] - total[:-k] >= similarity * k).any():
+                return True
+    return False
+
+
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_fuzzy_passages_against_brute_force(spark):
+    draw = random.Random(4)
+    word = lambda: "w" + str(draw.randint(0, 50_000))
+    texts = []
+    for similarity in (0.7, 0.8, 0.82, 0.85, 0.9, 0.95):
+        for n in (50, 60, 80):
+            for _ in range(3):
+                p = [word() for _ in range(n)]
+                q = list(p)
+                for i in draw.sample(range(n), round(n * (1 - similarity))):
+                    q[i] = word()
+                texts += [[word() for _ in range(draw.randint(0, 60))] + x + [word() for _ in range(draw.randint(0, 60))] for x in (p, q)]
+    got = table(chains.fuzzy_passages(frame(spark, list(map(" ".join, texts)))))
+    for i in range(0, len(texts), 2):
+        want = _similar_windows(texts[i], texts[i + 1], chains.LEAST_WORDS, chains.SIMILARITY)
+        if want:
+            assert i in got and i + 1 in got, i
+        if i in got:  # with gaps it may be similar where no diagonal is
+            s, t = got[i].passages[0], got[i + 1].passages[0]
+            a, b = texts[i][s.start : s.stop], texts[i + 1][t.start : t.stop]
+            assert min(len(a), len(b)) >= chains.LEAST_WORDS and 2 * _lcs(a, b) >= chains.SIMILARITY * (len(a) + len(b)) - 1e-9
+
+
 # toxicity and quality
 
 
