@@ -1,18 +1,22 @@
 """Byte-level BPE encoding and decoding with a segment tree over byte positions.
 
 Each leaf holds the rank of the pair that begins at its byte position; the root gives the leftmost
-pair of least rank. A merge updates the leaves of the merged pair and of its live neighbours, so a
-piece of n bytes costs O(n log n) however long it is. Pieces repeat, so each worker remembers the
-packed ids of those it has seen.
+pair of least rank. Nodes have FANOUT children. A merge updates the leaves of the merged pair and of its
+live neighbours and the nodes above them, so a piece of n bytes costs O(n log n) however long it is.
+Pieces repeat, so each worker remembers the packed ids of MEMO_TOTAL bytes, twice, of those it has seen last.
 
 Defined cases: a null or empty text has no ids; lone white space and text of any length are pieces
-like others; every byte value is a token of the vocabulary, so nothing is unknown.
+like others; every byte value is a token of the vocabulary, so nothing is unknown; each row is encoded by
+itself, so repeated rows and ids give equal results, row for row; an empty table gives no rows; bytes that
+aren't UTF-8 are read as replacement characters; a column of the input that has the name of a new column is replaced
+where all columns are returned, and otherwise only those in `keep` are.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -23,11 +27,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-NONE = 1 << 40
+NONE = 1 << 62
+#: Children of a node of the segment tree; the least of so many is one step.
+FANOUT = 16
 #: Longer pieces are not remembered.
 MEMO_BYTES = 64
+#: Bytes of the younger half of what a worker remembers.
+MEMO_TOTAL = 24 << 20
 #: A vocabulary is broadcast; this bounds its file.
 MOST_VOCABULARY_BYTES = 64 << 20
+#: Bytes that are decoded at a time.
+DECODE_BYTES = 1 << 20
 
 
 def parse_ranks(blob: bytes) -> dict[bytes, int]:
@@ -39,45 +49,37 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n = len(piece)
-    size = 1 << max(0, (n - 1).bit_length())
-    tree = [NONE * size] * (2 * size)
-    right, left, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-
-    def key(at: int) -> int:
-        after = right[at]
-        rank = ranks.get(piece[at : end[after]]) if after < n else None
-        return NONE * size if rank is None else rank * size + at
-
-    def put(at: int, value: int) -> None:
-        node = at + size
-        tree[node] = value
-        node >>= 1
-        while node:
-            a, b = tree[2 * node], tree[2 * node + 1]
-            least = a if a <= b else b
-            if tree[node] == least:
-                break
-            tree[node] = least
-            node >>= 1
-
-    for at in range(n - 1):
-        tree[size + at] = key(at)
-    for node in range(size - 1, 0, -1):
-        tree[node] = min(tree[2 * node], tree[2 * node + 1])
-    while (best := tree[1]) < NONE * size:
-        at = best % size
-        gone = right[at]
-        end[at], right[at] = end[gone], right[gone]
-        if right[at] < n:
-            left[right[at]] = at
-        put(gone, NONE * size)
-        put(at, key(at))
-        if left[at] >= 0:
-            put(left[at], key(left[at]))
+    rank_of = ranks.get
+    # a leaf holds rank * n + position of the pair that begins there, so the least leaf is the leftmost pair of least rank
+    leaves = [NONE if (r := rank_of(piece[i : i + 2])) is None else r * n + i for i in range(n - 1)]
+    leaves.append(NONE)
+    levels = [leaves]
+    while len(levels[-1]) > FANOUT:
+        below = levels[-1]
+        levels.append([min(below[i : i + FANOUT]) for i in range(0, len(below), FANOUT)])
+    top, inner = levels[-1], list(zip(levels, levels[1:], strict=False))
+    end, left = list(range(1, n + 1)), list(range(-1, n - 1))  # a live position's end and its live neighbour to the left
+    while (best := min(top)) < NONE:
+        at = best % n
+        gone = end[at]
+        stop = end[at] = end[gone]
+        leaves[gone] = NONE
+        if stop < n:
+            left[stop] = at
+            leaves[at] = NONE if (r := rank_of(piece[at : end[stop]])) is None else r * n + at
+        else:
+            leaves[at] = NONE
+        before = left[at]
+        if before >= 0:
+            leaves[before] = NONE if (r := rank_of(piece[before:stop])) is None else r * n + before
+        for below, above in inner:
+            for node in {(before if before >= 0 else at) // FANOUT, at // FANOUT, gone // FANOUT}:
+                above[node] = min(below[node * FANOUT : (node + 1) * FANOUT])
+            before, at, gone = before // FANOUT, at // FANOUT, gone // FANOUT
     out, at = [], 0
     while at < n:
         out.append(ranks[piece[at : end[at]]])
-        at = right[at]
+        at = end[at]
     return out
 
 
@@ -87,18 +89,41 @@ class Codec:
     def __init__(self, blob: bytes, pattern: str):
         self.ranks = parse_ranks(blob)
         self.find = regex.compile(pattern).findall
-        self.bytes_of = {i: b for b, i in self.ranks.items()}
-        self.memo = common.Memo(self._pack)
+        self.known = np.zeros(max(self.ranks.values(), default=-1) + 1, bool)
+        self.size, self.start = np.zeros(len(self.known), np.int64), np.zeros(len(self.known), np.int64)
+        for b, i in self.ranks.items():
+            self.known[i], self.size[i] = True, len(b)
+        self.start[1:] = np.cumsum(self.size)[:-1]
+        self.bytes = np.frombuffer(b"".join(sorted(self.ranks, key=self.ranks.__getitem__)), np.uint8)
+        self.memo = common.Memo(self._pack, MEMO_TOTAL)
 
     def _pack(self, piece: str) -> bytes:
-        return np.array(merge_piece(piece.encode(), self.ranks), "<u4").tobytes()
+        ids = merge_piece(piece.encode(), self.ranks)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         memo, most = self.memo, MEMO_BYTES
         return b"".join([memo[p] if len(p) <= most else self._pack(p) for p in self.find(text)])
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, many: list[bytes]) -> list[bytes]:
+        """The bytes of each of many lists of ids. KeyError for an id that the vocabulary doesn't have."""
+        ids = np.frombuffer(b"".join(many), "<u4").astype(np.int64)
+        if len(ids) and (ids.max() >= len(self.known) or not self.known[ids].all()):
+            raise KeyError("an id that the vocabulary doesn't have")
+        size = self.size[ids]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        parts, low = [], 0
+        while low < len(ids):
+            high = max(low + 1, int(np.searchsorted(upto, upto[low] + DECODE_BYTES)) - 1)
+            n = size[low:high]
+            parts.append(self.bytes[np.repeat(self.start[ids[low:high]] - upto[low:high], n) + np.arange(upto[low], upto[high])].tobytes())
+            low = high
+        whole = b"".join(parts)
+        edge = upto[np.concatenate(([0], np.cumsum([len(x) // 4 for x in many])))].tolist()
+        return [whole[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
 
 @lru_cache(2)
@@ -125,7 +150,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     def run(batches):
         c = codec(shared.value, pattern)
         for b in batches:
-            ids = pa.array([c.encode(t) if t else b"" for t in b.column(text).to_pylist()], pa.binary())
+            ids = pa.array([c.encode(t) if t else b"" for t in common.strings(b, text)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out])
 
     return docs.mapInArrow(run, schema)
@@ -142,7 +167,7 @@ def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out
     def run(batches):
         c = codec(shared.value, pattern)
         for b in batches:
-            back = pa.array([c.decode(x) if x else b"" for x in b.column(ids).to_pylist()], pa.binary())
+            back = pa.array(c.decode_all([x or b"" for x in b.column(ids).to_pylist()]), pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, back], [*b.schema.names, out])
 
     return docs.mapInArrow(run, schema)
@@ -162,8 +187,8 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | No
         c = codec(shared.value, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            ids = [c.encode(t) if t else b"" for t in b.column("text").to_pylist()]
-            cols = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(c.decode(x)) for x in ids], pa.string())]
+            ids = [c.encode(t) if t else b"" for t in common.strings(b)]
+            cols = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(map(sha, c.decode_all(ids)), pa.string())]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *cols], [*kept, *names])
 
     return docs.mapInArrow(run, common.schema_of(docs, kept, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}))
