@@ -4,8 +4,8 @@ One pass over the texts writes a narrow table (digest of the normalised text, by
 locator) to shared storage. A structured-streaming aggregation reads it with a RocksDB state store and
 no watermark, so state stays for ever: per digest the stable identifier (the largest doc_id), the
 content locator of that row, and the count. Given a checkpoint, later batches continue the same state.
-Hits are then checked on full bytes against the row that stays; texts that only share a digest are
-grouped again by their full text.
+Hits are then checked on full bytes: a digest whose rows hold one text is confirmed, and texts that only
+share a digest are grouped again by their full text.
 
 Defined cases: a null text counts as empty; texts are equal when identical after lower-casing A-Z only;
 rows that repeat a doc_id with equal text stay or go together; rows without doc_id have nothing that names
@@ -41,8 +41,10 @@ class DedupState:
     def update(self, path: str, schema) -> DataFrame:
         """State rows (digest, keep_id, locator, group_size) of all digests that this batch touched."""
         spark, out = self.spark, f"{self.folder}/out"
-        # without preallocation, a store of few keys takes kilobytes of disk instead of 4 MB
-        wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+        # without preallocation, a store of few keys takes kilobytes of disk instead of 4 MB; all stores of an executor share one bound
+        # of memory, and those of an ended query are let go soon
+        wanted = {"providerClass": ROCKSDB, "rocksdb.allowFAllocate": "false", "rocksdb.boundedMemoryUsage": "true", "rocksdb.maxMemoryUsageMB": "128", "maintenanceInterval": "5s"}
+        wanted = {f"spark.sql.streaming.stateStore.{k}": v for k, v in wanted.items()}
         with common.settings(spark, wanted):
             rows = spark.readStream.schema(schema).parquet(path)
             state = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("last"), F.count(F.lit(1)).alias("group_size"))
@@ -71,11 +73,12 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     groups = common.stored(state.where("group_size > 1"), "groups")
     # full bytes on hits: every member of a group against the text of the row that stays. Only the texts of
     # groups are moved: a runtime Bloom filter on their ids, of bounded size, thins the scan before the exchange
-    members = common.stored(narrow.join(groups.select("digest", "keep_id", "group_size"), "digest").select(F.col("doc_id").alias("id"), "digest", "keep_id", "group_size"), "hit-ids")
+    members = common.stored(narrow.join(groups.select("digest", "group_size"), "digest").select(F.col("doc_id").alias("id"), "digest", "group_size"), "hit-ids")
     with common.settings(spark, common.BLOOM):
-        hits = common.stored(docs.select("doc_id", "text").join(members.where("group_size > 1").hint("merge"), F.col("doc_id") == F.col("id")).select("digest", F.col("id").alias("doc_id"), "keep_id", normalised(F.col("text")).alias("t")), "hits")
-    keepers = hits.where("doc_id = keep_id").groupBy("digest").agg(F.max("t").alias("keeper"))
-    odd = common.stored(hits.join(keepers, "digest").where("t <> keeper").select("digest").distinct(), "odd")
+        hits = common.stored(docs.select("doc_id", "text").join(members.where("group_size > 1").hint("merge"), F.col("doc_id") == F.col("id")).select(F.col("digest").alias("d"), normalised(F.col("text")).alias("t")).where(digest(F.col("t")).cast("string") == F.col("d")).withColumnRenamed("d", "digest"), "hits")
+    # a digest with one text is confirmed; copies are counted where they are read, so a large group moves one row from each task
+    variants = hits.groupBy("digest", "t").agg(F.count(F.lit(1)).alias("n"))
+    odd = common.stored(variants.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "odd")
     clash = not odd.isEmpty()
     rows = narrow.select("doc_id", "digest", "text_sha256", "locator")
     if clash:
