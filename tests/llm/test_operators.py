@@ -41,7 +41,7 @@ def own():
     return bpe.Codec(blob, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(blob), special_tokens={})
 
 
-@pytest.mark.parametrize("text", ["hello world", "  two  spaces ", "a" * 3000, "ab" * 999, "日本語" * 300, "it's 123 +++ \x00\x1c\xa0 é", "<|endoftext|>"])
+@pytest.mark.parametrize("text", ["hello world", "  two  spaces ", "a" * 3000, "ab" * 999, "zyxw" * 5000, "日本語" * 300, "it's 123 +++ \x00\x1c\xa0 é", "<|endoftext|>"])
 def test_bpe_agrees_with_the_library(own, text):
     codec, library = own
     ids = codec.encode(text)
@@ -191,8 +191,7 @@ def test_dedup_state_outlives_a_batch(spark, tmp_path):
 
 
 def brute_near(rows, percent):
-    memo = minhash.word_memo()
-    sets = {i: set(minhash.shingles((t or "").encode(), memo).tolist()) for i, t in rows}
+    sets = {i: set(minhash.shingles_of([(t or "").encode()])[0].tolist()) for i, t in rows}
     root = {i: i for i, _ in rows}
 
     def top(i):
@@ -452,5 +451,16 @@ def test_pair_of_rows_with_both_labels_is_left_out(spark):
 
 
 def test_memory_of_words_is_bounded():
-    m = common.Memo(len, 3)
-    assert [m["a" * i] for i in range(10)] == list(range(10)) and len(m) <= 3
+    m = common.Memo(len, 1000)
+    assert [m["a" * i] for i in range(200)] == list(range(200)) and len(m) + len(m.old) <= 12
+    assert [m["a" * i] for i in range(200)] == list(range(200))
+
+
+def test_hashed_words_do_not_depend_on_what_stands_around():
+    words = ["a", "B", "ab", "ba", "é", "x" * 700_000]
+    want = {w.lower(): int(common.hashed_words([w.encode()])[0][0]) for w in words}
+    assert len(set(want.values())) == len(words)
+    draw = random.Random(1)
+    texts = [[draw.choice(words) for _ in range(draw.randint(0, 6))] for _ in range(60)]
+    h, n = common.hashed_words([None, *(("\t" + " \n".join(t)).encode() for t in texts)])
+    assert n.tolist() == [0, *map(len, texts)] and h.tolist() == [want[w.lower()] for t in texts for w in t]

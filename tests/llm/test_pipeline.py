@@ -71,8 +71,7 @@ def test_stages(spark, corpus):
                 last[k] = max(last.get(k, -1), i)
             want = [(i, t) for i, t in before if last[(t or "").lower()] == i]
         elif name == "MinHash near-dedup":
-            memo = minhash.word_memo()
-            sets = [(i, set(minhash.shingles((t or "").encode(), memo).tolist())) for i, t in before]
+            sets = [(i, set(minhash.shingles_of([(t or "").encode()])[0].tolist())) for i, t in before]
             near = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
             gone = {i for i, a in sets for j, b in sets if j < i and near(a, b)}
             want = [r for r in before if r[0] not in gone]

@@ -4,24 +4,38 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
+import sys
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in one Arrow batch. Texts are whole, so batches are kept short to bound a worker's memory.
-ARROW_ROWS = 256
+#: Rows and bytes in one Arrow batch. Texts are whole, so batches are kept short to bound a worker's memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 #: Lets the planner thin the text scan by the ids that it is joined with, at any size of the input.
 BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g", "spark.sql.autoBroadcastJoinThreshold": "-1"}
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows, since one row may hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound Arrow batches by rows and bytes, since one row may hold a very long text.
+
+    A frame's batches are cut when it runs, which may be long after it was built, so the settings stay with
+    the session; those that its owner has set are left alone.
+    """
+    for k, v in BATCH.items():
+        if k not in _own_settings(spark):
+            spark.conf.set(k, v)
+
+
+def _own_settings(spark: SparkSession) -> set[str]:
+    """Those of BATCH that were set by someone else."""
+    return {k for k, v in BATCH.items() if spark._jsparkSession.sessionState().conf().contains(k) and spark.conf.get(k) != v}
 
 
 @contextlib.contextmanager
@@ -53,9 +67,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session of one machine gets a local one, and a cluster an error."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="veldspar-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -93,10 +109,87 @@ def drop_stored(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def strings(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
+    """Texts as strings; bytes that aren't UTF-8 become replacement characters."""
+    column = batch.column(name)
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x9E3779B97F4A7C15
+_TABLE = np.random.Generator(np.random.PCG64(29)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes that are hashed at a time: bounds the memory of a worker.
+HASH_CHUNK = 1 << 18
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+    out, step = np.ones(1, np.uint64), base
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(step)])
+        step = step * step % 2**64
+    return out[:n]
+
+
+_POWER, _INVERSE = powers(_BASE, HASH_CHUNK), powers(pow(_BASE, -1, 2**64), HASH_CHUNK)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hash_chunk(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word of raw, by prefix sums of a polynomial."""
+    inside = np.concatenate(([False], ~WHITE[raw], [False]))
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    n = len(raw)
+    power, inverse = (_POWER[:n], _INVERSE) if n <= HASH_CHUNK else (powers(_BASE, n), powers(pow(_BASE, -1, 2**64), n))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_TABLE[raw] * power, out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start]), start
+
+
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (lower-cased in A-Z, parted by white space) of all texts in turn, and each text's number of words."""
+    counts = np.zeros(len(texts), np.int64)
+    out, held, size = [], [], 0
+
+    def settle():
+        nonlocal held, size
+        if held:
+            starts = np.concatenate(([0], np.cumsum([len(p) + 1 for _, p in held])))
+            h, at = _hash_chunk(np.frombuffer(b" ".join(p for _, p in held), np.uint8))
+            found = np.diff(np.searchsorted(at, starts))
+            np.add.at(counts, [i for i, _ in held], found)
+            out.append(h)
+            held, size = [], 0
+
+    for i, t in enumerate(texts):
+        t = (t or b"").lower()  # noqa: PLW2901
+        at = 0
+        while at < len(t):
+            end = min(len(t), at + HASH_CHUNK - 1)
+            while end < len(t) and not WHITE[t[end]]:  # a cut falls between words
+                end += 1
+            if size + end - at >= HASH_CHUNK:
+                settle()
+            held.append((i, t[at:end]))
+            size += end - at + 1
+            at = end
+    settle()
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
+
+
 def lower_az(column):
     """Lower-case A-Z only; other letters stay."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -134,14 +227,18 @@ def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 class Memo(dict):
-    """A dict that computes missing entries and forgets all of them at a bound, so a worker's memory is bounded."""
+    """A dict that computes missing entries. It holds at most about 2 * most_bytes: the older half is forgotten when the younger is full."""
 
-    def __init__(self, make, most: int = 500_000):
+    def __init__(self, make, most_bytes: int = 6 << 20):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.held, self.old = make, most_bytes, 0, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if (out := self.old.get(key)) is None:
+            out = self.make(key)
+        self.held += 100 + sys.getsizeof(key) + sys.getsizeof(out)
+        if self.held > self.most:
+            self.old, self.held = dict(self), 0
             self.clear()
-        self[key] = out = self.make(key)
+        self[key] = out
         return out

@@ -99,7 +99,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], m
     def run(batches):
         j = judge_of(shared.value, level)
         for b in batches:
-            got = [j.judge(t, margin) for t in b.column("text").to_pylist()]
+            got = [j.judge(t, margin) for t in common.strings(b)]
             cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *cols], [*keep, *new])
 

@@ -39,32 +39,26 @@ _DRAW = np.random.Generator(np.random.PCG64(20240229))
 _A = _DRAW.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _DRAW.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 _C = _DRAW.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def word_memo() -> common.Memo:
-    return common.Memo(lambda w: xxhash.xxh3_64_intdigest(w, 7))
-
-
-def shingles(text: bytes | None, memo: dict, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles."""
-    found = text.lower().split() if text else []
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter((memo[w] for w in found), np.uint64, len(found))
-    if len(h) < width:
-        return _mix(np.array([(h * _C[: len(h)]).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64))
-    n = len(h) - width + 1
-    total = np.full(n, width, np.uint64)
-    for i in range(width):
-        total += h[i : i + n] * _C[i]
-    return np.unique(_mix(total))
+def shingles_of(texts: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles."""
+    words, counts = common.hashed_words(texts)
+    n = len(words) - width + 1
+    total = np.full(max(0, n), width, np.uint64)
+    for i in range(width if n > 0 else 0):
+        total += words[i : i + n] * _C[i]
+    total = common.mix(total)
+    out, at = [], 0
+    for c in counts.tolist():
+        if c >= width:
+            out.append(np.unique(total[at : at + c - width + 1]))
+        elif c:
+            out.append(common.mix(np.array([(words[at : at + c] * _C[:c]).sum(dtype=np.uint64) + np.uint64(c)], np.uint64)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+        at += c
+    return out
 
 
 def signature(x: np.ndarray) -> np.ndarray:
@@ -81,7 +75,7 @@ def signature(x: np.ndarray) -> np.ndarray:
 
 def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     part = sig[: bands * rows].reshape(bands, rows)
-    return _mix((part * _C[:rows]).sum(axis=1, dtype=np.uint64) + _C[64 : 64 + bands]).view(np.int64)
+    return common.mix((part * _C[:rows]).sum(axis=1, dtype=np.uint64) + _C[64 : 64 + bands]).view(np.int64)
 
 
 def profiles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -89,11 +83,9 @@ def profiles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     common.tune(docs.sparkSession)
 
     def run(batches):
-        memo = word_memo()
         for b in batches:
             n, digests, bands = [], [], []
-            for t in common.text_bytes(b):
-                x = shingles(t, memo, width)
+            for x in shingles_of(common.text_bytes(b), width):
                 n.append(len(x))
                 digests.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
                 bands.append(band_hashes(signature(x)) if len(x) else [])
@@ -107,9 +99,8 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     common.tune(docs.sparkSession)
 
     def run(batches):
-        memo = word_memo()
         for b in batches:
-            sets = [shingles(t, memo, width).view(np.int64) for t in common.text_bytes(b)]
+            sets = [x.view(np.int64) for x in shingles_of(common.text_bytes(b), width)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
     return docs.select(F.col("id"), "text").mapInArrow(run, "id long, s array<long>")

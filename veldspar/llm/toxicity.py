@@ -228,7 +228,7 @@ def score(docs: DataFrame, grammar: Grammar, keep: list[str]) -> DataFrame:
     def run(batches):
         g = _loaded(shared.value)
         for b in batches:
-            got = [g.score(t) for t in b.column("text").to_pylist()]
+            got = [g.score(t) for t in common.strings(b)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(got, pa.float64()), pa.array([int(s >= 0.5) for s in got], pa.int32())], [*keep, "score", "predicted"])
 
     return docs.mapInArrow(run, common.schema_of(docs, keep, {"score": "double", "predicted": "integer"}))
