@@ -24,18 +24,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays; of rows without doc_id, one of each text that no other row has."""
-    stay = exact.deduplicate(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_sha", exact.sha256(exact.normalised(F.col("text"))))
-    known = rows.join(stay.where("_id is not null").drop("_sha"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "_sha"])
-    unknown = rows.where("doc_id is null").join(stay.where("_id is null").drop("_id"), "_sha", "left_semi").dropDuplicates(["_sha"])
-    return known.unionByName(unknown).select(*docs.columns)
+    """Of equal texts (A-Z lower-cased) one row of the largest doc_id stays; of rows without doc_id, one of each text that no other row has."""
+    decided = exact.deduplicate(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    decided = decided.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_hash"), "kept", "n").where("n > 1 or not kept")
+    decided = common.stored(decided, "decided")
+    rows = common.packed(docs).withColumn("_sha", exact.sha256(exact.normalised(F.col("text"))))
+    same = lambda d: F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_hash"))
+    out = rows.join(decided, same(decided), "left_anti")
+    if not (twice := decided.where("kept")).isEmpty():  # rows that repeat in doc_id and text
+        out = out.unionByName(rows.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "_sha"]))
+    return common.unpacked(out, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that shingles of five words link at a similarity of 0.8, the document with the least doc_id stays. All rows of a doc_id share its fate."""
     gone = minhash.near_duplicates(docs, SIMILAR_PERCENT).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").select(*docs.columns)
+    return common.unpacked(common.packed(docs).join(gone, F.col("doc_id") == F.col("_id"), "left_anti"), docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
