@@ -8,11 +8,19 @@ of neighbours. A stack scan gives its interval tree; in each interval the member
 compared, which yields the maximal repeats with all their occurrences.
 
 Skew: occurrences of equal surroundings, and so all copies of a text, collapse to one member of a bucket
-by partial sums before anything is compared; a bucket of more than MOST_MEMBERS different surroundings
-is resolved window by window, counted with partial sums, so no task holds it whole.
+by partial sums before anything is compared. A bucket of more than MOST_MEMBERS different surroundings is
+dealt by longer keys: for each place that a window may have around its anchor, in steps of STEP bytes, the
+bytes that all windows of that step share. Members that have a window in common share such a key, so they meet again, and
+an interval tree is built for each part; no task holds a large bucket whole. A part that is
+still too large, as its members share nearly a whole window, is dealt by its STEP windows: then the key is the window, an
+interval by itself, and counting its members with partial sums is all that is left to do.
+
+Windows and surroundings are compared by 128 bits of hashes (seed and surroundings, or two of a window) where they
+collapse, and by their bytes in the arrays.
 
 Defined cases: a null text is empty; texts shorter than `length` have nothing removed; rows that repeat
-a doc_id with equal text count as copies of each other; nothing is removed from rows without doc_id but whole copies.
+a doc_id, or have none, are told apart by their text: every row counts, and equal rows count as copies of each other;
+an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,22 +38,15 @@ from . import common
 
 LENGTH, SEED = 200, 50
 MOST_MEMBERS = 1500
+#: Places of a window around its anchor that share one longer key.
+STEP = 25
 CHUNK = (1 << 20) - 1
 _LOW = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, np.uint64)
-    step = base
-    while len(out) < n:
-        out = np.concatenate([out, out * np.uint64(step)])
-        step = step * step % 2**64
-    return out[:n]
-
-
-_POWER, _INVERSE = _powers(_BASE, CHUNK + 2), _powers(pow(_BASE, -1, 2**64), CHUNK + 2)
+_POWER, _INVERSE = common.powers(_BASE, CHUNK + 2), common.powers(pow(_BASE, -1, 2**64), CHUNK + 2)
 
 
 def _seed_hashes(raw: np.ndarray, k: int) -> np.ndarray:
@@ -135,8 +136,23 @@ def maximal_repeats(members: list[tuple[bytes, bytes]], least: int) -> Iterator[
                 yield left, right, inside[a : b + 1]
 
 
+KEY = ["doc_id", "id", "x"]
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, id, x, text): x is a hash of the text, id the doc_id or, without one, another hash of the text."""
+    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return docs.select(doc.alias("doc_id"), F.coalesce(doc, F.xxhash64(F.lit(7), text)).alias("id"), F.xxhash64(text).alias("x"), text.alias("text"))
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """Rows (id, x, text, and wanted's columns) that `wanted` (id, x, ...) names."""
+    wanted = common.stored(wanted.withColumn("_one", F.lit(1)), name).where("_one > 0").hint("merge")
+    return _named(docs).drop("doc_id").join(wanted, ["id", "x"]).drop("_one")
+
+
 def _profiles(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, n_bytes, digest, sha256, anchors) of every row."""
+    """(doc_id, id, x, n_bytes, digest, sha256, anchors) of every row; (id, x) names a row by its doc_id and text."""
     common.tune(docs.sparkSession)
     kind = pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("c", pa.int64())]))
 
@@ -149,15 +165,15 @@ def _profiles(docs: DataFrame, length: int) -> DataFrame:
                 cols = np.array([(h, c) for h, _, _, _, c in whole], np.uint64).reshape(-1, 2).view(np.int64)
                 found.append([{"h": h, "p": p, "a": a, "b": b, "c": c} for (_, p, a, b, _), (h, c) in zip(whole, cols.tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(found, kind)],
-                ["doc_id", "n_bytes", "digest", "sha256", "anchors"],
+                [*(batch.column(k) for k in KEY), pa.array(map(len, texts), pa.int64()), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(found, kind)],
+                [*KEY, "n_bytes", "digest", "sha256", "anchors"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, digest binary, sha256 string, anchors array<struct<h:long,p:int,a:int,b:int,c:long>>")
+    return _named(docs).mapInArrow(run, "doc_id long, id long, x long, n_bytes long, digest binary, sha256 string, anchors array<struct<h:long,p:int,a:int,b:int,c:long>>")
 
 
-def _small_buckets(members: DataFrame, length: int) -> DataFrame:
-    """members (h, doc_id, p, l, r, single) -> (doc_id, start, stop), bucket by bucket, each of bounded size."""
+def _settled(members: DataFrame, length: int, names: list[str]) -> DataFrame:
+    """members (`names`: bucket; id, x, p, l, r, single) -> (id, x, start, stop), bucket by bucket, each of bounded size."""
 
     def run(batches):
         held, key = [], None
@@ -165,70 +181,85 @@ def _small_buckets(members: DataFrame, length: int) -> DataFrame:
         def settle(rows):
             # all spans of a member hold its anchor, so their union is one span
             widest = {}
-            for left, right, who in maximal_repeats([(m[2][::-1], m[3]) for m in rows], length):
+            for left, right, who in maximal_repeats([(m[3][::-1], m[4]) for m in rows], length):
                 for i in who:
                     a, b = widest.get(i, (0, 0))
                     widest[i] = max(a, left), max(b, right)
             for i, (a, b) in widest.items():
-                d, p, _, _, single = rows[i]
+                d, x, p, _, _, single = rows[i]
                 if single:
-                    yield d, p - a, p + b
+                    yield d, x, p - a, p + b
 
         def packed(out):
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "stop"])
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], SPAN)
 
         out = []
         for b in batches:
-            for h, *row in zip(*(b.column(n).to_pylist() for n in ("h", "doc_id", "p", "l", "r", "single")), strict=True):
-                if h != key:
+            keys = zip(*(b.column(n).to_pylist() for n in names), strict=True)
+            for now, *row in zip(keys, *(b.column(n).to_pylist() for n in MEMBER), strict=True):
+                if now != key:
                     out.extend(settle(held))
-                    held, key = [], h
+                    held, key = [], now
                 held.append(row)
             yield packed(out)
             out = []
         yield packed([*out, *settle(held)])
 
-    return members.select("h", "doc_id", "p", "l", "r", "single").repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc_id long, start long, stop long")
+    return members.select(*names, *MEMBER).repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "id long, x long, start long, stop long")
+
+
+SPAN, MEMBER = ["id", "x", "start", "stop"], ["id", "x", "p", "l", "r", "single"]
+
+
+def _parts(members: DataFrame, length: int, places, step: int) -> DataFrame:
+    """members by longer keys (h, g, k1, k2), one row for each g of `places` whose windows, which begin g to g + step - 1 bytes before the anchor, the member may have."""
+    rows = members.withColumn("g", F.explode(places)).where(f"length(l) >= g and length(r) >= {length} - g - {step} + 1")
+    around = F.expr(f"concat(substring(l, length(l) - g + 1, g), substring(r, 1, {length} - g - {step} + 1))")
+    return rows.withColumn("k1", F.xxhash64(around)).withColumn("k2", F.xxhash64(F.lit(1), around))
 
 
 def _large_buckets(members: DataFrame, length: int) -> DataFrame:
-    """The same for buckets of many members: every window is counted by its hash, with partial sums."""
-    whole = members.select("h", "doc_id", F.col("p").cast("long").alias("p"), F.length("l").alias("n"), F.concat("l", "r").alias("x"))
-    one = whole.select("h", "doc_id", "p", "n", "x", F.explode(F.sequence(F.lit(0), F.length("x") - length)).alias("s")).where(f"length(x) >= {length}")
-    keyed = one.select("doc_id", (F.col("p") - F.col("n") + F.col("s")).alias("start"), F.xxhash64("h", F.col("s") - F.col("n"), F.expr(f"substring(x, s + 1, {length})")).alias("key"))
-    again = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    return keyed.join(again, "key").groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts")).select("doc_id", F.explode("starts").alias("start")).select("doc_id", "start", (F.col("start") + length).alias("stop"))
+    """The same for buckets of many members, dealt by longer keys."""
+    names, last = ["h", "g", "k1", "k2"], length - SEED
+    parts = common.stored(_parts(members.drop("m"), length, F.sequence(F.lit(0), F.lit(last), F.lit(STEP)), STEP), "parts")
+    sizes = common.stored(parts.groupBy(*names).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "part-sizes")
+    parts = parts.join(sizes, names)
+    spans = _settled(parts.where(f"m <= {MOST_MEMBERS}"), length, names)
+    rest = parts.where(f"m > {MOST_MEMBERS}").select(*MEMBER, "h", F.col("g").alias("g0"))
+    windows = _parts(rest, length, F.sequence(F.col("g0"), F.least(F.col("g0") + STEP - 1, F.lit(last))), 1).select("id", "x", "p", "single", *names)
+    again = common.stored(windows.groupBy(*names).agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "windows")
+    whole = windows.where("single").join(again, names).groupBy("id", "x", "p").agg(F.max("g").alias("most"), F.min("g").alias("least"))
+    return spans.unionByName(whole.select("id", "x", (F.col("p") - F.col("most")).cast("long").alias("start"), (F.col("p") - F.col("least") + length).cast("long").alias("stop")))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(profiles of all rows; spans (doc_id, start, stop))."""
+    """(profiles of all rows; spans (id, x, start, stop))."""
     found = common.stored(_profiles(docs, length), "anchors")
-    copies = common.stored(found.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies")
-    heads = common.stored(found.select("doc_id", "n_bytes", "digest", "sha256"), "heads")
-    marks = found.select("doc_id", F.explode("anchors").alias("m")).select("doc_id", "m.*")
+    copies = common.stored(found.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    heads = common.stored(found.select(*KEY, "n_bytes", "digest", "sha256"), "heads")
+    marks = found.select("id", "x", F.explode("anchors").alias("m")).select("id", "x", "m.*")
     # most seeds occur once: those are counted with partial sums and left behind before anything wider moves
     # counts are stored before they are joined, so that both sides of the join are exchanges that Spark can split at a hot seed
     again = common.stored(marks.groupBy("h").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("h"), "again")
     marks = common.stored(marks.join(again, "h"), "marks")
     common.drop_stored(found)
-    place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "p"))
-    same = common.stored(marks.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "same")
+    same = common.stored(marks.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "x", "p")).alias("first")), "same")
     buckets = common.stored(same.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "buckets")
     rows = common.stored(marks.join(same.join(buckets, "h"), ["h", "c"]), "rows")
     for x in (marks, same):
         common.drop_stored(x)
-    inside = rows.where("n > 1").select("doc_id", F.col("a").cast("long").alias("start"), (F.col("b") + length).cast("long").alias("stop"))
-    fine = rows.where("m > 1 and (n = 1 or (first.doc_id <=> doc_id and first.p = p))")
-    lists = fine.groupBy("doc_id").agg(F.collect_set(F.struct("h", "p", "a", "b", "m", (F.col("n") == 1).alias("single"))).alias("f"))
+    inside = rows.where("n > 1").select("id", "x", F.col("a").cast("long").alias("start"), (F.col("b") + length).cast("long").alias("stop"))
+    fine = rows.where("m > 1 and (n = 1 or (first.id = id and first.x = x and first.p = p))")
+    lists = fine.groupBy("id", "x").agg(F.collect_set(F.struct("h", "p", "a", "b", "m", (F.col("n") == 1).alias("single"))).alias("f"))
     with common.settings(docs.sparkSession, common.BLOOM):
-        members = common.texts_of(docs, lists.withColumnRenamed("doc_id", "id"), "lists").select("doc_id", F.col("text").cast("binary").alias("t"), F.explode("f").alias("f"))
-        members = members.select("doc_id", "f.h", "f.p", "f.m", "f.single", F.expr("substring(t, f.a + 1, f.p - f.a)").alias("l"), F.expr(f"substring(t, f.p + 1, f.b + {length} - f.p)").alias("r"))
-        members = common.stored(members, "members")
-    spans = inside.unionByName(_small_buckets(members.where(f"m <= {MOST_MEMBERS}"), length))
+        members = _texts_of(docs, lists, "lists").select("id", "x", F.col("text").alias("t"), F.explode("f").alias("f"))
+        members = members.select("id", "x", "f.h", "f.p", "f.m", "f.single", F.expr("substring(t, f.a + 1, f.p - f.a)").alias("l"), F.expr(f"substring(t, f.p + 1, f.b + {length} - f.p)").alias("r"))
+        members = common.stored(members, "members")  # more than once for rows that repeat in doc_id and text, which are copies anyway
+    spans = inside.unionByName(_settled(members.where(f"m <= {MOST_MEMBERS}"), length, ["h"]))
     if not (large := members.where(f"m > {MOST_MEMBERS}")).isEmpty():
         spans = spans.unionByName(_large_buckets(large, length))
-    return heads.join(copies, "digest").select("doc_id", "n_bytes", "sha256", "copies"), spans
+    return heads.join(copies, "digest").select(*KEY, "n_bytes", "sha256", "copies"), spans
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -244,11 +275,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs; with_text adds `kept`, the remaining bytes."""
     profiles, spans = repeated_spans(docs, length)
-    lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    parts = profiles.select("doc_id", "n_bytes", "sha256", "copies").withColumn("whole", F.expr(f"copies > 1 and n_bytes >= {length}"))
+    lists = spans.groupBy("id", "x").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    parts = profiles.withColumn("whole", F.expr(f"copies > 1 and n_bytes >= {length}"))
     empty = hashlib.sha256(b"").hexdigest()
-    cut = parts.where("not whole").join(lists, "doc_id").select("doc_id", "spans").dropDuplicates(["doc_id"])
-    names = ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"]
+    cut = parts.where("not whole").join(lists, ["id", "x"]).select("id", "x", "spans")  # each such text stands in one row
+    names = ["id", "x", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def run(batches):
         for b in batches:
@@ -259,12 +290,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
                 rest = b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
                 rows.append((len(t) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), rest if with_text else None))
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary())], names)
 
     with common.settings(docs.sparkSession, common.BLOOM):
-        raw = common.texts_of(docs, cut.withColumnRenamed("doc_id", "id"), "cut").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
-        done = common.stored(raw.mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary"), "done")
-    changed = parts.where("not whole").join(done, "doc_id", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "kept")
+        raw = _texts_of(docs, cut, "cut").select("id", "x", "text", "spans")
+        done = common.stored(raw.mapInArrow(run, "id long, x long, n_removed long, n_spans long, kept_sha256 string, kept binary"), "done")
+    changed = parts.where("not whole").join(done, ["id", "x"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "kept")
     whole = parts.where("whole").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"), F.lit(b"").alias("kept"))
     out = changed.unionByName(whole)
     return out if with_text else out.drop("kept")
