@@ -1,16 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar that scores clauses.
 
 Words are read as classes: insults (learned from labels, as words or word beginnings with weights),
-threats, targets, negations and verbs of reported speech. Five transducers are composed into one
-automaton: the first two mark insults and threats, then each later one rewrites the marks that it
-reads: as directed at a target, as negated, as reported. The automaton runs over the clauses that hold a mark, and a
-clause's score is the weight of its marks by kind. A logistic regression over the kinds' totals, the
-strongest clause and their density gives the document's score, so what negation or reporting is
+threats, targets, negations and verbs of reported speech. Transducers are composed into two automata that
+run over each sentence, one from its start and one from its end. The first two transducers mark insults and threats;
+each later one rewrites the marks that it reads: as directed at a target on either side, as negated by
+what stands before, as reported by a verb on either side. Commas, colons and quotation marks don't end
+a sentence, so `he said: "you dolt"` and `you dolt, he said` are both reported. A mark has what either automaton says.
+A sentence's score is the weight of its marks by kind. A logistic regression over the kinds' totals, the
+strongest mark and their density gives the document's score, so what negation or reporting is
 worth is learned too.
 
 Bounds of the fit: learn.PER_CLASS labelled texts of either class, of at most learn.FIT_BYTES each.
 Defined cases: null and empty texts get the score of a text without any mark; with no labelled rows,
-the built-in lexicon's words alone count.
+threats alone count; rows that repeat are scored one by one and get equal scores, as texts without a mark
+do; an empty table gives no rows; columns of the input named score or predicted are replaced, others in `keep` stay;
+bytes that aren't UTF-8 are read as replacement characters.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import zlib
 from collections import Counter
 from functools import lru_cache
 
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from . import common, learn
 
 WORD = re.compile(r"[^\W\d_]+")
-CLAUSE = re.compile(r"[.!?;:\n,()\"“”«»]+")
+SENTENCE = re.compile(r"[.!?;\n]+")
 PREFIX = range(3, 9)
 LEAST_DF, LEAST_ODDS, LEAST_Z = 4, 3.0, 3.0
 
@@ -52,7 +57,7 @@ class Transducer:
 
 
 def _within(trigger: str, marks: list[str], flag: str, span: int) -> Transducer:
-    """Marks within `span` words after the trigger get the flag; span 0: up to the end of the clause."""
+    """Marks within `span` words after the trigger get the flag; span 0: up to the end of the sentence."""
     arcs, default = {}, {}
     for state in range(max(1, span) + 1):
         default[state] = state - 1 if span and state else state
@@ -67,6 +72,7 @@ THREATS = Transducer({(0, "t"): (0, "T")}, {0: 0})
 TARGETS = _within("Y", ["I", "T"], "d", NEAR)
 NEGATIONS = _within("N", ["I", "T", "Id", "Td"], "n", NEAR)
 REPORTS = _within("R", [m + n for m in ("I", "T", "Id", "Td") for n in ("", "n")], "r", 0)
+#: A kind's number: 8 for a threat, plus 4 if directed, 2 if negated, 1 if reported.
 KINDS = [m + d + n + r for m in "IT" for d in ("", "d") for n in ("", "n") for r in ("", "r")]
 
 
@@ -87,7 +93,9 @@ def compose(parts: list[Transducer], symbols: str = "oitYNR") -> dict:
     return table
 
 
-GRAMMAR = compose([INSULTS, THREATS, TARGETS, NEGATIONS, REPORTS])
+FORWARD = compose([INSULTS, THREATS, TARGETS, NEGATIONS, REPORTS])
+#: Read from the sentence's end; what negates stands before.
+BACKWARD = compose([INSULTS, THREATS, TARGETS, REPORTS])
 
 
 def units(word: str) -> list[str]:
@@ -110,18 +118,22 @@ class Grammar:
         return ("Y" if word in TARGET else "N" if word in NEGATION else "R" if word in REPORT else "o"), 0.0
 
     def clauses(self, text: str) -> list[list[tuple[int, float]]]:
-        """The marks (kind, weight) of each clause that has one."""
+        """The marks (kind, weight) of each sentence that has one."""
         memo, out = self.memo, []
-        for clause in CLAUSE.split(text):
-            read = [memo[w] for w in WORD.findall(clause)]
+        for sentence in SENTENCE.split(text):
+            read = [memo[w] for w in WORD.findall(sentence)]
             if not any(w for _, w in read):
                 continue
-            state, marks = 0, []
-            for symbol, weight in read:
-                state, kind = GRAMMAR[state, symbol]
+            state, kinds = 0, []
+            for symbol, _ in read:
+                state, kind = FORWARD[state, symbol]
+                kinds.append(kind)
+            state = 0
+            for at in range(len(read) - 1, -1, -1):
+                state, kind = BACKWARD[state, read[at][0]]
                 if kind >= 0:
-                    marks.append((kind, weight))
-            out.append(marks)
+                    kinds[at] |= kind
+            out.append([(kind, weight) for kind, (_, weight) in zip(kinds, read, strict=True) if kind >= 0])
         return out
 
     @staticmethod
@@ -209,7 +221,7 @@ def fit(rows: list[tuple[str, int]]) -> Grammar:
 
 def train(docs: DataFrame, labels: DataFrame, train, per_class: int = learn.PER_CLASS) -> Grammar:
     rows = learn.sample(docs, labels, "toxic", train, per_class).select("doc_id", "text", "y").collect()
-    return fit([(r.text, r.y) for r in sorted(rows, key=lambda r: (hash((r.doc_id, 1)), r.doc_id, r.y, r.text or ""))])
+    return fit([(r.text, r.y) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.y, r.text or ""))])
 
 
 @lru_cache(2)
