@@ -5,11 +5,14 @@ A text is cut into blocks, each compressed with every dictionary on its own, so
 replace the dictionary by its own past; the sizes add up over the whole text. The score is the
 softmax of the saved bits; a narrow margin between the two smallest sets `rejected`.
 
-Bounds of the fit: at most `per_language` texts for each language, the first by a hash of their id,
-of `sample_bytes` in all for each language.
+Bounds of the fit: for each language whole texts of at most FIT_BYTES each, the first by a hash of their id, until
+they make `sample_bytes`; all languages share TOTAL_BYTES, so that many languages have smaller dictionaries.
+Every language with such a text has a dictionary; one of less text than zstandard takes is filled up with spaces.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; no labelled
-text at all makes every text `und`; ties go to the first language by name.
+text at all makes every text `und`; ties go to the first language by name; repeated rows are judged one
+by one and get equal rows; an empty table gives no rows; columns of the input that have the names of
+new ones are replaced, others in `keep` stay; bytes that aren't UTF-8 are read as replacement characters.
 """
 
 from __future__ import annotations
@@ -21,41 +24,47 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
-PER_LANGUAGE = 800
-SAMPLE_BYTES = 256 << 10
+SAMPLE_BYTES, TOTAL_BYTES = 256 << 10, 64 << 20
+FIT_BYTES = 32 << 10
 BLOCK = 8192
-LEVEL = 4
-#: Texts of at most SHORT bytes are worth a closer search for matches.
-SHORT, SHORT_LEVEL = 512, 12
+LEVEL = 6
 #: Share of the smaller size by which it must win.
 MARGIN = 0.02
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def fit(docs: DataFrame, train, per_language: int = PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """Dictionaries by language, from the rows of docs (text, lang, doc_id) where `train` holds."""
-    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).sort(F.desc("n"), "lang").limit(256).collect()}
-    found: dict[str, list[bytes]] = {}
-    for name, n in sorted(counts.items()):
-        part = common.first_by_hash(rows.where(F.col("lang") == name).select("doc_id", F.substring("text", 1, 4096).alias("t")), n, per_language)
-        found[name] = [r.t.encode() for r in part.collect()]
-    out = {}
-    for name, texts in found.items():
-        each = max(256, sample_bytes // max(1, len(texts)))
-        blob = b"\n".join(t[:each] for t in texts)
-        out[name] = blob[-sample_bytes:]
-    return {k: v for k, v in out.items() if len(v) >= 8}
+def fit(docs: DataFrame, train, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> dict[str, bytes]:
+    """Dictionaries by language, from the rows of docs (text, lang, doc_id) where `train` holds.
+
+    One pass counts the languages' bytes; in another, a threshold on a hash of the id, which those set, leaves about twice
+    the wanted bytes of each language, and running sums by that hash cut them.
+    """
+    size = F.octet_length("text").cast("long")
+    rows = docs.where(train & F.col("lang").isNotNull() & (size <= FIT_BYTES))
+    counts = rows.groupBy("lang").agg(F.sum(size).alias("bytes"))
+    n = counts.count()
+    each = min(sample_bytes, total_bytes // max(1, n))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    shares = counts.select("lang", F.least(F.lit(1.0), (2.0 * each + 40 * FIT_BYTES) / F.greatest("bytes", F.lit(1))).alias("share"))
+    near = rows.select("doc_id", "lang", "text", h.alias("h")).join(shares, "lang").where(F.col("h") < F.col("share") * float(1 << 32))
+    # what is left is bounded for each language, so a window over one doesn't grow with the input
+    upto = F.sum(size).over(W.partitionBy("lang").orderBy("h", "doc_id", "text").rowsBetween(W.unboundedPreceding, -1))
+    taken = near.withColumn("before", F.coalesce(upto, F.lit(0))).where(F.col("before") < each).select("lang", "text", "h", "doc_id").collect()
+    out: dict[str, list[bytes]] = {}
+    for r in sorted(taken, key=lambda r: (r.lang, r.h, str(r.doc_id), r.text)):
+        out.setdefault(r.lang, []).append(r.text.encode())
+    return {k: b"\n".join(v)[:each].ljust(8) for k, v in out.items()}
 
 
 class Judge:
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
         self.names = sorted(dictionaries)
-        self.by, self.closer = ([self._compressor(dictionaries[n], x) for n in self.names] for x in (level, SHORT_LEVEL))
+        self.by = [self._compressor(dictionaries[n], level) for n in self.names]
 
     @staticmethod
     def _compressor(dictionary: bytes, level: int):
@@ -64,8 +73,6 @@ class Judge:
         return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
     def sizes(self, text: bytes, block: int = BLOCK) -> list[int]:
-        if len(text) <= SHORT:
-            return [len(f(text)) for f in self.closer]
         parts = [text[i : i + block] for i in range(0, len(text), block)]
         return [sum(len(f(p)) for p in parts) for f in self.by]
 
