@@ -92,7 +92,7 @@ def test_decontamination_against_brute_force(spark):
     items = [(i, " ".join(word() for _ in range(draw.randint(1, 14)))) for i in range(12)] + [(12, None), (13, " - "), (None, "aa"), (3, "zz top")]
     docs = [", ".join(word() for _ in range(draw.randint(0, 200))) for _ in range(40)] + [None, "", "ZZ-top", items[0][1].upper()]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (decontaminate.BLOCK_BYTES, 64):
+    for block in (decontaminate.BLOCK_BYTES, 120):
         got = table(decontaminate.decontaminate(frame(spark, docs), bench, ["doc_id"], block_bytes=block))
         for i, t in enumerate(docs):
             n, hits, found = brute_hits(t, [x for x in items if x[0] is not None])
@@ -125,6 +125,23 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
     assert language.classify(df, {}, ["doc_id"]).where("lang_pred <> 'und'").count() == 0
     assert language.fit(df.limit(0), F.lit(True)) == {}
+    assert language.classify(df.limit(0), found, ["doc_id"]).count() == 0
+    twice = language.classify(df.unionAll(df).withColumn("score", F.lit("mine")), found, ["doc_id", "score", "lang"])
+    assert twice.columns == ["doc_id", "lang", "lang_pred", "score", "rejected"] and twice.distinct().count() == df.count()
+    many = language.fit(df, F.lit(True), sample_bytes=1000, total_bytes=1000)
+    assert all(8 <= len(v) <= 500 for v in many.values()) and set(many) == {"de", "fr"}
+    assert set(language.fit(spark.createDataFrame([(1, "a", "xx"), (2, "b" * 40_000, "yy")], "doc_id long, text string, lang string"), F.lit(True))) == {"xx"}
+
+
+def test_language_of_held_out_rows(spark):
+    """Accuracy on rows that the fit doesn't see."""
+    draw = random.Random(8)
+    made = {g: ["".join(draw.choice(letters) for _ in range(draw.randint(2, 8))) for _ in range(300)] for g, letters in (("de", "aeinrstußä"), ("fr", "aeiloupéèc"), ("es", "aeosnrñíld"))}
+    rows = [(i, " ".join(draw.choice(made[g]) for _ in range(draw.choice([6, 30, 300, 20_000 if i < 3 else 40]))), g) for i, g in enumerate(["de", "fr", "es"] * 80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = common.crc_mod(F.col("doc_id"), 4) == 2
+    got = language.classify(df.where(held), language.fit(df, ~held), ["doc_id", "lang"]).collect()
+    assert len(got) > 30 and sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
 
 
 # shards
@@ -295,6 +312,17 @@ def test_repeats_against_brute_force(spark, monkeypatch, most):
     assert {i: tuple(r)[1:] for i, r in got.items()} == brute_repeats(list(enumerate(texts)), 200)
 
 
+def test_repeats_of_rows_that_share_or_lack_an_id(spark):
+    draw = random.Random(15)
+    part = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    one, two = part(230), part(260)
+    rows = [(1, part(40) + one), (None, part(30) + one + part(50)), (2, part(10)), (2, two + part(9)), (3, part(77) + two), (2, two + one), (4, part(300)), (4, part(300)), (None, None)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, id string")
+    got = suffix.remove_repeats(df).collect()
+    want = brute_repeats([(k, t) for k, (_, t) in enumerate(rows)], 200)
+    assert sorted(map(tuple, got), key=repr) == sorted(((rows[k][0], *v) for k, v in want.items()), key=repr)
+
+
 def test_no_repeats_of_nothing(spark):
     assert suffix.remove_repeats(empty(spark)).count() == 0
 
@@ -317,12 +345,30 @@ def test_anchors_depend_on_content_only():
 # chains
 
 
-def test_chain_prefers_collinear_matches():
-    path = [(i, 100 + i) for i in range(0, 60, 5)]
-    best = chains.chain([*path, (10, 500), (30, 3), (55, 700)])[0]
-    assert best == path
-    far = chains.chain([(0, 0), (5, 5), (400, 400), (405, 405)])
+def test_chain_prefers_collinear_runs():
+    path = [(i, 100 + i, 5) for i in range(0, 60, 6)]
+    assert chains.chain([*path, (10, 500, 5), (30, 3, 5), (55, 700, 5)])[0] == path
+    far = chains.chain([(0, 0, 5), (5, 5, 5), (400, 400, 5), (405, 405, 5)])
     assert sorted(map(len, far)) == [2, 2]
+    x = np.array([3, 4, 9, 40, 2])
+    assert sorted(chains.runs(x, x + np.array([7, 7, 7, 7, 9]))) == [(2, 11, 5), (3, 10, 11), (40, 47, 5)]
+
+
+def test_chain_of_overlapping_runs_is_the_best_one():
+    draw = random.Random(12)
+    for _ in range(60):
+        found = sorted({(draw.randint(0, 60), draw.randint(0, 60), draw.randint(5, 12)) for _ in range(9)})
+
+        def best(run, rest):
+            x, y, n = run
+            return n + max([0, *(best(q, rest) - chains.GAP * (x + y - q[0] - q[1] - 2 * q[2]) for q in rest if q[0] + q[2] - 4 <= x and q[1] + q[2] - 4 <= y)])
+
+        path = chains.chain(found)[0]
+        score = path[0][2]
+        for (x, y, n), (u, v, m) in zip(path, path[1:], strict=False):
+            assert x + n - 4 <= u and y + n - 4 <= v
+            score += m - chains.GAP * (u + v - x - y - 2 * n)
+        assert abs(score - max(best(r, found) for r in found)) < 1e-9
 
 
 def test_fuzzy_passages(spark):
@@ -366,29 +412,70 @@ def _lcs(a, b):
     return row[-1]
 
 
+def _pair(draw, word, similarity, n):
+    p = [word() for _ in range(n)]
+    q = list(p)
+    for i in draw.sample(range(n), round(n * (1 - similarity))):
+        q[i] = word()
+    return [[word() for _ in range(draw.randint(0, 60))] + x + [word() for _ in range(draw.randint(0, 60))] for x in (p, q)]
+
+
 def test_fuzzy_passages_against_brute_force(spark):
+    """Every passage found is one; with every seed all are found that have five equal words in a row, with one in three 98 of 100."""
     draw = random.Random(4)
     word = lambda: "w" + str(draw.randint(0, 50_000))
-    texts = []
-    for similarity in (0.7, 0.8, 0.82, 0.85, 0.9, 0.95):
-        for n in (50, 60, 80):
-            for _ in range(3):
-                p = [word() for _ in range(n)]
-                q = list(p)
-                for i in draw.sample(range(n), round(n * (1 - similarity))):
-                    q[i] = word()
-                texts += [[word() for _ in range(draw.randint(0, 60))] + x + [word() for _ in range(draw.randint(0, 60))] for x in (p, q)]
-    got = table(chains.fuzzy_passages(frame(spark, list(map(" ".join, texts)))))
-    for i in range(0, len(texts), 2):
-        want = _similar_windows(texts[i], texts[i + 1], chains.LEAST_WORDS, chains.SIMILARITY)
-        if want:
-            assert i in got and i + 1 in got, i
-        if i in got:  # with gaps it may be similar where no diagonal is
+    texts = [t for s in (0.7, 0.8, 0.82, 0.85, 0.9, 0.95) for n in (50, 60, 80) for _ in range(5) for t in _pair(draw, word, s, n)]
+    df = frame(spark, list(map(" ".join, texts)))
+    wanted = [i for i in range(0, len(texts), 2) if _similar_windows(texts[i], texts[i + 1], chains.LEAST_WORDS, chains.SIMILARITY)]
+    assert len(wanted) > 70
+    for density, share in ((1, 1.0), (chains.DENSITY, 0.98)):
+        got = table(chains.fuzzy_passages(df, density=density))
+        assert sum(i in got and i + 1 in got for i in wanted) >= share * len(wanted)
+        for i in (i for i in range(0, len(texts), 2) if i in got):  # with gaps it may be similar where no diagonal is
             s, t = got[i].passages[0], got[i + 1].passages[0]
             a, b = texts[i][s.start : s.stop], texts[i + 1][t.start : t.stop]
             assert min(len(a), len(b)) >= chains.LEAST_WORDS and 2 * _lcs(a, b) >= chains.SIMILARITY * (len(a) + len(b)) - 1e-9
 
 
+def test_fuzzy_passages_of_stock_phrases_against_all_pairs(spark):
+    """Every line stands in many documents, so no seed is rare; what all pairs of documents share is found all the same."""
+    draw = random.Random(21)
+    word = lambda: "w" + str(draw.randint(0, 50_000))
+    lines = [[word() for _ in range(12)] for _ in range(14)]
+    texts = []
+    for i in range(240):
+        t = [w for _ in range(3) for w in draw.choice(lines)]
+        texts.append([word() for _ in range(draw.randint(20, 40))] + t + [word() for _ in range(draw.randint(20, 40))])
+    for i in range(0, 40, 2):
+        shared = [w for k in draw.sample(range(14), 6) for w in lines[k]]
+        for j in (i, i + 1):
+            texts[j] = texts[j][:20] + shared + texts[j][-20:]
+    got = table(chains.fuzzy_passages(frame(spark, list(map(" ".join, texts)))))
+    held = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            held.setdefault(tuple(t[k : k + 50]), set()).add((i, k))
+    want = {}
+    for where in held.values():
+        if len({i for i, _ in where}) > 1:
+            for i, k in where:
+                want.setdefault(i, set()).update(range(k, k + 50))
+    assert len(want) >= 40
+    for i, words in want.items():  # exactly repeated words are covered
+        assert i in got, i
+        assert not words - {w for s in got[i].passages for w in range(s.start, s.stop)}, i
+
+
+def test_fuzzy_passages_of_odd_rows(spark):
+    draw = random.Random(2)
+    word = lambda: "w" + str(draw.randint(0, 50_000))
+    one, two = ([word() for _ in range(70)] for _ in range(2))
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(one + [word() for _ in range(9)])), (3, " ".join([word() for _ in range(9)] + two)), (None, " ".join(one)), (4, " ".join(two)), (4, " ".join(two)), (5, " ".join([*one, *two] + [word() for _ in range(30_000)])), (6, None), (7, "")]
+    got = chains.fuzzy_passages(spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, h string, passages string")).collect()
+    assert len({r.doc_id for r in got}) == len(got) and {2, 3, 4, 5} <= {r.doc_id for r in got} <= {1, 2, 3, 4, 5}
+    assert [(s.start, s.stop) for r in got if r.doc_id == 5 for s in r.passages] == [(0, 140)]
+
+
 # toxicity and quality
 
 
@@ -426,7 +513,22 @@ def test_toxic_marks_carry_their_context():
     kinds = lambda t: [toxicity.KINDS[k] for c in g.clauses(t) for k, _ in c]
     assert kinds("a dolt") == ["I"] and kinds("you utter dolt") == ["Id"]
     assert kinds("not a dolt") == ["In"] and kinds("she said you dolt") == ["Idr"]
-    assert kinds("he said. a dolt") == ["I"] and kinds("kill them") == ["T"] and kinds("you kill") == ["Td"]
+    assert kinds("he said. a dolt") == ["I"] and kinds("kill them") == ["Td"] and kinds("you kill") == ["Td"]
+    assert kinds("she said: you dolt") == ["Idr"] and kinds('he said, "you dolt"') == ["Idr"] and kinds("you dolt, he said") == ["Idr"]
+    assert kinds("kill") == ["T"] and kinds("dolt you are") == ["Id"] and kinds("a dolt, not one") == ["I"] and kinds("no one will kill you") == ["Td"]
+
+
+@pytest.mark.parametrize(("op", "label"), [(toxicity, "toxic"), (quality, "quality")])
+def test_learned_scores_of_held_out_rows(spark, op, label):
+    docs, labels = labelled(spark)
+    held = common.crc_mod(F.col("doc_id"), 3) == 1
+    model = op.train(docs, labels, ~held)
+    marks = {r.doc_id: r[label] for r in labels.where("doc_id < 300").collect()}
+    got = table(op.score(docs.where(held), model, ["doc_id"]))
+    assert len(got) > 80 and sum(got[i].predicted == marks[i] for i in got if i in marks) >= 0.95 * len(set(got) & set(marks))
+    assert op.score(docs.limit(0), model, ["doc_id"]).count() == 0
+    twice = op.score(docs.union(docs), model, ["doc_id", "score"])
+    assert twice.columns == ["doc_id", "score", "predicted"] and twice.distinct().count() == docs.count()
 
 
 def test_quality(spark):
