@@ -185,3 +185,63 @@ def test_requests(spark):
     for bad in ({}, {"query": [1.0, 0.0], "k": 0}, {"query": [1.0, 0.0], "tier": "x"}, {"text": "fox"}):
         with pytest.raises(ValueError):
             R.search(docs, **bad)
+
+
+GOLDEN = {
+    "She said twenty five boxes arrived with the two hundred more and then 25 again": [
+        ("she", 0, 0, 3, 0), ("said", 1, 4, 8, 0), ("twenti", 2, 9, 15, 0), ("25", 2, 9, 20, 3), ("twentyfive", 2, 9, 20, 3), ("five", 3, 16, 20, 0), ("box", 4, 21, 26, 0), ("arriv", 5, 27, 34, 0),
+        ("two", 8, 44, 47, 0), ("200", 8, 44, 55, 3), ("twohundred", 8, 44, 55, 3), ("hundr", 9, 48, 55, 0), ("more", 10, 56, 60, 0), ("25", 13, 70, 72, 1), ("twentyfive", 13, 70, 72, 3), ("again", 14, 73, 78, 0),
+    ],
+    "ticket I-485 blocks GPT-5.6": [
+        ("ticket", 0, 0, 6, 0), ("i-485", 1, 7, 12, 1), ("i485", 1, 7, 12, 3), ("485", 2, 9, 12, 1), ("block", 3, 13, 19, 0),
+        ("gpt", 4, 20, 23, 0), ("gpt-5.6", 4, 20, 27, 1), ("gpt56", 4, 20, 27, 3), ("5", 5, 24, 25, 1), ("6", 6, 26, 27, 1),
+    ],
+    "fn put_if_match KVCache": [
+        ("fn", 0, 0, 2, 0), ("put", 1, 3, 6, 0), ("put_if_match", 1, 3, 15, 1), ("putifmatch", 1, 3, 15, 3), ("match", 3, 10, 15, 0), ("kv", 4, 16, 18, 0), ("kvcache", 4, 16, 23, 1), ("cach", 5, 18, 23, 0),
+    ],
+}
+
+
+@pytest.mark.parametrize("text", GOLDEN)
+def test_golden_tokens(text):
+    assert [tuple(t) for t in analyzer.tokens(text)] == GOLDEN[text]
+
+
+def test_numbers_in_words_and_digits():
+    assert [analyzer.spelled(n) for n in (0, 19, 25, 205, 1_000_000, 2_000_300)] == ["zero", "nineteen", "twentyfive", "twohundredfive", "onemillion", "twomillionthreehundred"]
+    assert analyzer.spoken("two hundred and five".split()) == 205 and analyzer.spoken(["and", "five"]) is None and analyzer.spoken(["thousand"]) is None and analyzer.spoken(["hundred"]) == 100
+    both = lambda t: {(x.term, x.position) for x in analyzer.tokens(t)}
+    assert both("twenty five") & both("25") == {("25", 0), ("twentyfive", 0)}
+
+
+def test_profiles_have_their_own_epochs():
+    assert len({c.epoch() for c in (analyzer.TEXT, analyzer.CODE, analyzer.VOICE)}) == 3
+
+
+@pytest.mark.parametrize(
+    ("name", "want"),
+    list({"Smith": "SM0", "Schmidt": "XMT", "Schneider": "XNTR", "Thompson": "TMPS", "Knight": "NT", "Wright": "RT", "Gnome": "NM", "Psycho": "SX", "Philip": "FLP", "Christopher": "KRST", "Church": "XRX", "Robertson": "RPRT", "Ghost": "KST", "Through": "0R", "Fitzgerald": "FTSJ", "Xavier": "SFR", "Quinn": "KN", "Zimmerman": "SMRM", "chad": "KT", "Aesop": "SP"}.items()),
+)
+def test_phonetic_codes(name, want):
+    assert phonetic.code(name) == want
+
+
+def test_rrf_of_whole_lists(spark, monkeypatch):
+    from veldspar.operators import fusion as H
+
+    monkeypatch.setattr(H, "RANGE_ROWS", 7)
+    legs = [[(i, float((i * k) % 11)) for i in range(40)] for k in (3, 5)]
+    got = {r.doc_id: r.score for r in H.rrf(*(spark.createDataFrame(x, "doc_id long, score double") for x in legs)).collect()}
+    want = {}
+    for leg in legs:
+        for n, (i, _) in enumerate(sorted(leg, key=lambda r: (-r[1], r[0])), 1):
+            want[i] = want.get(i, 0) + 1 / (60 + n)
+    assert got == pytest.approx(want)
+
+
+def test_rules_of_fusion():
+    from veldspar.operators import fusion as H
+
+    assert H.effective_alpha(0.5, H.Signals(True)) == (0.5, []) and H.effective_alpha() == (0.7, [])
+    assert H.effective_alpha(None, H.Signals(True, 3, True)) == (0.4, ["quoted_phrase", "rare_exact_token", "identifier_token"])
+    assert H.effective_alpha(None, H.Signals(False, 6, False)) == (0.7, []) and H.is_identifier("abc-1") and not H.is_identifier("abc")

@@ -16,6 +16,11 @@ def test_imports_without_a_session():
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 0
 
 
+def test_queries_survive_without_the_libraries_of_llm():
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and 'pipeline' not in q and 'op1_minhash' not in q; e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 0
+
+
 def test_nothing_else_imports_the_llm_folder():
     import pathlib
 

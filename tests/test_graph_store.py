@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veldspar.operators import documents as D
 from veldspar.operators import graph as G
 from veldspar.operators import predicates as P
 from veldspar.operators.documents import StaleRevision
@@ -127,6 +128,115 @@ def test_store(spark, tmp_path):
     assert [r.found for r in s.get([2, 5]).collect()] == [True, False]
 
 
+def test_store_purges_and_keeps_sets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "MOST_SETS", 3)
+    s = S.Store.create(spark, f"file://{tmp_path}/s", SCHEMA)
+    batch = lambda *r: spark.createDataFrame(list(r), SCHEMA)
+    ids = lambda *i: spark.createDataFrame([(x,) for x in i], "doc_id long")
+    s.ingest(batch((1, 1, 10, "secret"), (2, 1, 20, "b"), (3, 1, 30, "c")))
+    s.ingest(batch((2, 2, 21, "bb")))
+    assert [k for _, k in s.state["files"]] == ["new", "newer"]
+    s.delete(ids(3, 99))
+    assert s.delete(ids(99)) == s.generation and [k for _, k in s.state["files"]] == ["new", "newer", "gone"]
+    s.ingest(batch((3, 1, 31, "back")))
+    assert rows(s.live().select("doc_id", "text")) == [(1, "secret"), (2, "bb"), (3, "back")]
+    with pytest.raises(StaleRevision):
+        s.delete_if(spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, expected long"))
+    s.delete_if(spark.createDataFrame([(2, 2)], "doc_id long, expected long"))
+    other = S.Store(spark, f"file://{tmp_path}/s")
+    s.purge(ids(1))
+    with pytest.raises(S.StaleCursor):
+        other.ingest(batch((8, 1, 1, "late")))
+    kept = [spark.read.parquet(str(p)).collect() for p in (tmp_path / "s" / "data").iterdir()]
+    assert [(r.doc_id, r.text) for t in kept for r in t] == [(3, "back")] and len(list((tmp_path / "s" / "generations").glob("*.json"))) == 1
+    assert S.Store(spark, f"file://{tmp_path}/s").health()["ok"]
+    page, cursor = s.scan_ordered("revision", 1)
+    assert page.count() == 1 and s.scan(5, "storage", columns=["text"])[0].columns == ["doc_id", "ts", "text"]
+    with pytest.raises(ValueError):
+        s.scan(5, "no such order")
+    for i in range(5):
+        s.ingest(batch((3, 2 + i, 31, f"v{i}")))
+    assert len(s.state["files"]) <= 4 and rows(s.live().select("text")) == [("v4",)]
+
+
+def test_namespaces_commit_together(spark, tmp_path):
+    n = S.Namespaces(spark, f"file://{tmp_path}/n")
+    n.create("a", SCHEMA)
+    n.create("b", SCHEMA)
+    batch = lambda *r: spark.createDataFrame(list(r), SCHEMA)
+    n.batch({"a": lambda s: s.ingest(batch((1, 1, 1, "x"))), "b": lambda s: s.ingest(batch((2, 1, 1, "y")))})
+
+    def fails(s):
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        n.batch({"a": lambda s: s.ingest(batch((9, 1, 1, "lost"))), "b": fails})
+    assert rows(n.open("a").live().select("doc_id")) == [(1,)] and rows(n.open("b").live().select("doc_id")) == [(2,)]
+    n.batch({"a": lambda s: s.delete(spark.createDataFrame([(1,)], "doc_id long"))})
+    assert n.open("a").count() == 0
+    n.drop("b")
+    assert n.names() == ["a"]
+    with pytest.raises(FileNotFoundError):
+        n.open("b")
+
+
+def test_texts_in_a_store(spark, tmp_path):
+    schema = SCHEMA.add("parent_id", T.LongType())
+    s = S.Store.create(spark, f"file://{tmp_path}/s", schema)
+    texts = lambda *r: spark.createDataFrame(list(r), "parent_id long, revision long, ts long, text string")
+    s.ingest_text(texts((1, 1, 5, "red fox jumps over lazy dogs"), (2, 1, 6, "blue whales sing")), longest=4, overlap=1)
+    assert s.count() == 3
+    assert [(r.doc_id, r.text) for r in s.query_text("blue whales", k=5).collect()] == [(2 << 20, "blue whales sing")]
+    s.ingest_text(texts((1, 2, 7, "red fox")), longest=4, overlap=1)
+    assert rows(s.live().select("text")) == [("blue whales sing",), ("red fox",)]
+    assert s.query_text("lazy").count() == 0 and s.query_text("fox").count() == 1
+    s.delete_text(spark.createDataFrame([(1,)], "parent_id long"))
+    assert rows(s.live().select("parent_id")) == [(2,)]
+
+
+def test_cascades(spark):
+    t = {"a": spark.createDataFrame([(1,), (2,)], "k long"), "b": spark.createDataFrame([(10, 1), (11, 2)], "k long, a long"), "c": spark.createDataFrame([(100, 10, None), (101, 11, 1), (102, 11, 2)], "k long, b long, a long")}
+    rules = [("a", "b", "a"), ("b", "c", "b"), ("a", "c", "a")]
+    gone = D.cascade_by_rules(t, dict.fromkeys(t, "k"), rules, "a", spark.createDataFrame([(1,)], "k long"))
+    assert rows(gone["b"]) == [(10,)] and rows(gone["c"]) == [(100,), (101,)]
+    with pytest.raises(D.CycleError):
+        D.check_rules([*rules, ("c", "a", "c")])
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "parent long, child long")
+    roots = spark.createDataFrame([(1,)], "id long")
+    assert rows(D.cascade_closure(edges, roots)) == [(1,), (2,), (3,), (4,)]
+    with pytest.raises(D.CycleError):
+        D.cascade_closure(edges, roots, refuse_cycles=True)
+    assert D.cascade_closure(edges.where("child <> 1"), roots, refuse_cycles=True).count() == 4
+
+
+def test_writes_to_relationships(graph):
+    g = cypher.apply(graph, "MATCH (a)-[r:K]->(b) WHERE b.name = 'cy' SET r.weight = 9.0, r.note = 'n'")
+    assert rows(cypher.run(g, "MATCH ()-[r]->() WHERE r.weight = 9.0 RETURN r.note AS n, count(r) AS c")) == [("n", 2)]
+    assert rows(g.nodes) == rows(graph.nodes)
+    g = cypher.apply(g, "MATCH ()-[r:L]->() REMOVE r.weight")
+    assert rows(cypher.run(g, "MATCH ()-[r]->() RETURN count(r.weight) AS c")) == [(3,)]
+    for text in ("MATCH ()-[r:K]->() SET r:Label", "MATCH ()-[r:K]->() SET r.src = 1"):
+        with pytest.raises((CypherError, G.IntegrityError)):
+            cypher.apply(graph, text)
+    assert rows(cypher.run(graph, "MATCH (a) WHERE a.name + a.name = 'cycy' RETURN a.name + '!' AS n, toFloat('inf') AS f")) == [("cy!", None)]
+
+
+def test_keyed_changes(spark):
+    kinds = "kind string, namespace string, key string, op string, entity_id long, revision long, expected long, name string"
+    put = lambda *r: spark.createDataFrame([("node", "n", *x) for x in r], kinds)
+    g = G.KeyedGraph.empty(spark, "name string").apply(put(("a", "create", 1, 1, None, "x"), ("b", "create", 2, 1, None, "y")))
+    again = g.apply(put(("a", "create", 1, 1, None, "other")))
+    assert rows(again.live().select("key", "name")) == [("a", "x"), ("b", "y")]
+    with pytest.raises(G.IntegrityError):
+        g.apply(put(("a", "put", 1, 2, 1, "z"), ("b", "create", 5, 9, None, "w")))
+    with pytest.raises(G.IntegrityError):
+        g.apply(put(("c", "create", 3, 1, None, "z"), ("c", "create", 4, 1, None, "w")))
+    g = g.apply(put(("a", "put", 1, 2, 1, "z"), ("b", "delete", 2, 2, None, None)))
+    assert rows(g.live().select("key", "revision", "name")) == [("a", 2, "z")]
+    g = g.apply(put(("b", "recreate", 7, 3, 2, "new")))
+    assert rows(g.lookup(spark.createDataFrame([("node", "n", "b")], "kind string, namespace string, key string")).select("entity_id", "name")) == [(7, "new")]
+
+
 def test_streams(spark, tmp_path):
     s = S.Store.create(spark, f"file://{tmp_path}/s", SCHEMA)
     spark.createDataFrame([(1, 1, 10, "a"), (1, 2, 11, "b"), (2, 1, 12, "c")], SCHEMA).write.parquet(f"{tmp_path}/in")

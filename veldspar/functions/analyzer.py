@@ -23,6 +23,8 @@ ONES = {w: i for i, w in enumerate("zero one two three four five six seven eight
 TENS = {w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
 SCALES = {"thousand": 10**3, "million": 10**6, "billion": 10**9}
 MOST_NUMBER = 999_999_999_999
+#: Part of every epoch: raised when the rules of this module change.
+RULES_VERSION = 2
 
 
 class Token(NamedTuple):
@@ -35,6 +37,7 @@ class Token(NamedTuple):
 
 @dataclass(frozen=True)
 class Config:
+    profile: str = "text"
     stop: bool = True
     stemming: bool = True
     drop_single_letters: bool = True
@@ -43,13 +46,13 @@ class Config:
 
     def epoch(self) -> str:
         """Identity of the configuration: terms of different epochs don't compare."""
-        text = repr((self.stop, self.stemming, self.drop_single_letters, self.numbers, sorted(self.vocabulary.items())))
+        text = repr((RULES_VERSION, self.profile, self.stop, self.stemming, self.drop_single_letters, self.numbers, sorted(self.vocabulary.items())))
         return hashlib.sha256(text.encode()).hexdigest()[:32]
 
 
 TEXT = Config()
-CODE = Config(stop=False, stemming=False, drop_single_letters=False, numbers=False)
-VOICE = Config(stop=True, stemming=True, numbers=True)
+CODE = Config("code", stop=False, stemming=False, drop_single_letters=False, numbers=False)
+VOICE = Config("voice")
 
 
 def fold(text: str) -> str:
@@ -113,30 +116,55 @@ def parts(word: str) -> list[tuple[int, int]]:
     return out
 
 
-def number_at(words: list[str], at: int) -> tuple[int, int] | None:
-    """(value, words read) of the longest spoken number from `at`."""
-    total, current, best, i, last = 0, None, None, at, None
-    while i < len(words):
-        w = words[i]
-        if w in ONES:
-            if last == "one" or (last == "ten" and not 1 <= ONES[w] <= 9):
-                break
-            current, last = (current or 0) + ONES[w], "one"
-        elif w in TENS:
-            if last in ("one", "ten"):
-                break
-            current, last = (current or 0) + TENS[w], "ten"
-        elif w == "hundred" and current is not None and current < 100:
-            current, last = current * 100, "hundred"
-        elif w in SCALES and current is not None and (total == 0 or total % (SCALES[w] * 1000) == 0):
-            total, current, last = total + current * SCALES[w], None, "scale"
-        else:
-            break
-        i += 1
-        value = total + (current or 0)
-        if value <= MOST_NUMBER:
-            best = (value, i - at)
-    return best
+def spoken(words: list[str]) -> int | None:
+    """The value of a whole run of number words (`and` may stand inside), or None if they don't make one."""
+    total, current, seen = 0, 0, False
+    if not words or "and" in (words[0], words[-1]):
+        return None
+    for w in words:
+        if w in ONES or w in TENS:
+            current, seen = current + (ONES[w] if w in ONES else TENS[w]), True
+        elif w == "hundred":
+            current, seen = (current or 1) * 100, True
+        elif w in SCALES:
+            if not seen:
+                return None
+            total, current = total + (current or 1) * SCALES[w], 0
+    return total + current if seen and total + current <= MOST_NUMBER else None
+
+
+def spelled(value: int) -> str:
+    """The number in words, joined: 205 is twohundredfive."""
+    if value < 20:
+        return next(w for w, v in ONES.items() if v == value)
+    if value < 100:
+        return next(w for w, v in TENS.items() if v == value // 10 * 10) + (spelled(value % 10) if value % 10 else "")
+    name, scale = next((n, v) for n, v in (*reversed(SCALES.items()), ("hundred", 100)) if value >= v)
+    return spelled(value // scale) + name + (spelled(value % scale) if value % scale else "")
+
+
+def _number_word(w: str) -> bool:
+    return w in ONES or w in TENS or w in SCALES or w in ("hundred", "and")
+
+
+def _number_variants(surface: list[tuple[str, int, int, int, bool]]):
+    """(term, position, start, stop): numbers in digits get their words, runs of number words at consecutive positions their digits and their joined words.
+
+    Parts of compounds are left alone and end a run, as a stop word does.
+    """
+    for term, position, start, stop, part in surface:
+        if not part and term.isascii() and term.isdigit() and len(term) <= 12:
+            yield spelled(int(term)), position, start, stop
+    i = 0
+    while i < len(surface):
+        end = i
+        while end < len(surface) and not surface[end][4] and _number_word(surface[end][0]) and surface[end][1] == surface[i][1] + end - i:
+            end += 1
+        words = [x[0] for x in surface[i:end]]
+        if (value := spoken(words)) is not None:
+            for term in (str(value), "".join(w for w in words if w != "and")):
+                yield term, surface[i][1], surface[i][2], surface[end - 1][3]
+        i = max(end, i + 1)
 
 
 def tokens(text: str | None, config: Config = TEXT) -> list[Token]:
@@ -147,6 +175,7 @@ def tokens(text: str | None, config: Config = TEXT) -> list[Token]:
         bytes_at.append(bytes_at[-1] + len(c.encode("utf-8", "surrogatepass")))
     found: list[tuple[int, int, Token]] = []  # (position, rank, token)
     surface: list[tuple[str, int, int, int]] = []
+    sounded: list[tuple[str, int, int, int, bool]] = []  # without what is left out
     position = 0
     for start, stop, cjk in segments(text):
         word = text[start:stop]
@@ -172,6 +201,7 @@ def tokens(text: str | None, config: Config = TEXT) -> list[Token]:
                 digits = any(c.isdigit() for c in term)
                 out = stem(term) if config.stemming and not digits and term.isascii() else term
                 found.append((position, 0, Token(out, position, *here, NO_FUZZY if digits else 0)))
+                sounded.append((term, position, *here, len(cut) > 1))
             position += 1
         if len(cut) > 1:
             span = (bytes_at[start], bytes_at[stop])
@@ -181,17 +211,7 @@ def tokens(text: str | None, config: Config = TEXT) -> list[Token]:
                 found.append((first, 2, Token(joined, first, *span, NO_FUZZY | VARIANT)))
     words = [s[0] for s in surface]
     if config.numbers:
-        i = 0
-        while i < len(words):
-            if words[i] in ONES or words[i] in TENS:
-                value, used = number_at(words, i)
-                a, b = surface[i], surface[i + used - 1]
-                found.append((a[1], 3, Token(str(value), a[1], a[2], b[3], NO_FUZZY | VARIANT)))
-                if used > 1:
-                    found.append((a[1], 4, Token("".join(words[i : i + used]), a[1], a[2], b[3], NO_FUZZY | VARIANT)))
-                i += used
-            else:
-                i += 1
+        found += [(at, 3, Token(term, at, start, stop, NO_FUZZY | VARIANT)) for term, at, start, stop in _number_variants(sounded)]
     if config.vocabulary:
         longest = max(map(len, config.vocabulary))
         i = 0
@@ -204,7 +224,10 @@ def tokens(text: str | None, config: Config = TEXT) -> list[Token]:
                     break
             i += 1
     found.sort(key=lambda x: (x[0], x[1]))
-    return list(dict.fromkeys(t for _, _, t in found))
+    once: dict[tuple[str, int], Token] = {}
+    for _, _, t in found:
+        once.setdefault((t.term, t.position), t)  # a position never has one term twice
+    return list(once.values())
 
 
 SCHEMA = "array<struct<term:string,position:int,start:int,stop:int,flags:int>>"

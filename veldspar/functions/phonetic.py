@@ -1,99 +1,62 @@
-"""Primary phonetic codes of at most four symbols, after the published Double Metaphone rules for English and common surnames."""
+"""Primary phonetic codes of at most four symbols: the Double Metaphone rules for English and common surnames.
+
+Each letter has a list of rules (what stands from there, what it sounds like, letters read); the first that fits is taken.
+Letters other than A-Z are left out.
+"""
 
 from __future__ import annotations
 
-import unicodedata
+import re
 
 from pyspark.sql import functions as F
 
 LONGEST = 4
-VOWELS = "AEIOUY"
-SILENT = ("GN", "KN", "PN", "WR", "PS")
+
+# fixed values: the sounds of letters and groups, in order of precedence; `<` stands for the letters before, `^` for the start of the word
+RULES = {
+    "A": [("^A", "A"), ("A", "")],
+    "B": [("BB", "P"), ("B", "P")],
+    "C": [("CIA", "X"), ("CHR", "K", 2), ("^CHA", "K", 2), ("CH", "X"), ("CK", "K"), ("C[IEY]", "S"), ("CC", "K"), ("C", "K")],
+    "D": [("DG[IEY]", "J"), ("DG", "T"), ("D[DT]", "T"), ("D", "T")],
+    "F": [("FF", "F"), ("F", "F")],
+    "G": [("(?<=[AEIOUY])GH", ""), ("GH", "K"), ("GN", ""), ("G[IEY]", "J"), ("GG", "K"), ("G", "K")],
+    "H": [("^H(?=[AEIOUY])|(?<=[AEIOUY])H(?=[AEIOUY])", "H"), ("H", "")],
+    "J": [("JJ", "J"), ("J", "J")],
+    "K": [("KK", "K"), ("K", "K")],
+    "L": [("LL", "L"), ("L", "L")],
+    "M": [("MM", "M"), ("M", "M")],
+    "N": [("NN", "N"), ("N", "N")],
+    "P": [("PH", "F"), ("P[PB]", "P"), ("P", "P")],
+    "Q": [("QQ", "K"), ("Q", "K")],
+    "R": [("RR", "R"), ("R", "R")],
+    "S": [("SCH", "X"), ("SH", "X"), ("SIO|SIA", "X"), ("SS", "S"), ("S", "S")],
+    "T": [("TIO|TIA", "X"), ("TH(?=OM|AM)", "T"), ("TH", "0"), ("T[TD]", "T"), ("T", "T")],
+    "V": [("VV", "F"), ("V", "F")],
+    "W": [("W(?=[AEIOUY])", "W"), ("W", "")],
+    "X": [("^X", "S"), ("XX", "KS"), ("X", "KS")],
+    "Z": [("ZZ", "S"), ("Z", "S")],
+}
+RULES |= {v: [(f"^{v}", "A"), (v, "")] for v in "EIOUY"}
+_READ = {c: [(re.compile(r[0]), r[1], r[2] if len(r) > 2 else None) for r in rules] for c, rules in RULES.items()}
+#: The first letter of these beginnings isn't sounded.
+SILENT = ("GN", "KN", "PN", "WR", "PS", "AE")
 
 
 def code(term: str | None) -> str:
-    bare = unicodedata.normalize("NFD", term or "").upper()
-    w = "".join(c for c in bare if "A" <= c <= "Z")
-    out, i = "", 1 if w.startswith(SILENT) else 0
-    at = lambda k: w[k] if 0 <= k < len(w) else ""
-    while i < len(w) and len(out) < LONGEST:
-        c, n = w[i], 1
-        nxt = at(i + 1)
-        if c in VOWELS:
-            out += "A" if i == 0 else ""
-        elif c == "B":
-            out, n = out + "P", 2 if nxt == "B" else 1
-        elif c == "C":
-            if nxt == "H":
-                greek = at(i + 2) in ("R", "L") or (i == 0 and w[i + 2 : i + 5] in ("ARA", "EMI"))
-                out, n = out + ("K" if greek else "X"), 2
-            elif nxt in ("I", "E", "Y"):
-                out += "X" if w[i : i + 3] == "CIA" else "S"
-            else:
-                out, n = out + "K", 2 if nxt in ("C", "K", "Q", "G") else 1
-        elif c == "D":
-            if nxt == "G" and at(i + 2) in ("E", "I", "Y"):
-                out, n = out + "J", 3
-            else:
-                out, n = out + "T", 2 if nxt in ("D", "T") else 1
-        elif c == "G":
-            if nxt == "H":
-                if i == 0:
-                    out += "J" if at(2) == "I" else "K"
-                elif at(i - 1) not in VOWELS:
-                    out += "K"
-                n = 2
-            elif nxt == "N":
-                out, n = out + "N", 2
-            elif nxt in ("E", "I", "Y"):
-                out += "J"
-            else:
-                out, n = out + "K", 2 if nxt == "G" else 1
-        elif c == "H":
-            if nxt in VOWELS and nxt and (i == 0 or at(i - 1) in VOWELS):
-                out, n = out + "H", 2
-        elif c == "J":
-            out, n = out + "J", 2 if nxt == "J" else 1
-        elif c == "K":
-            out, n = out + "K", 2 if nxt == "K" else 1
-        elif c in "LMNRFV":
-            out, n = out + ("F" if c == "V" else c), 2 if nxt == c else 1
-        elif c == "P":
-            out, n = (out + "F", 2) if nxt == "H" else (out + "P", 2 if nxt in ("P", "B") else 1)
-        elif c == "Q":
-            out, n = out + "K", 2 if nxt == "Q" else 1
-        elif c == "S":
-            if nxt == "H":
-                out, n = out + "X", 2
-            elif w[i : i + 3] == "SCH":
-                out, n = out + "X", 3
-            elif w[i : i + 3] in ("SIO", "SIA"):
-                out, n = out + "X", 3
-            elif nxt == "C" and at(i + 2) in ("E", "I", "Y"):
-                out, n = out + "S", 3
-            else:
-                out, n = out + "S", 2 if nxt in ("S", "Z") else 1
-        elif c == "T":
-            if w[i : i + 4] == "TION" or w[i : i + 3] in ("TIA", "TCH"):
-                out, n = out + "X", 3
-            elif nxt == "H":
-                out, n = out + ("T" if at(i + 2) == "O" and at(i + 3) == "M" else "0"), 2
-            else:
-                out, n = out + "T", 2 if nxt in ("T", "D") else 1
-        elif c == "W":
-            if nxt == "R":
-                out, n = out + "R", 2
-            elif i == 0 and nxt in VOWELS and nxt:
-                out += "A"
-        elif c == "X":
-            out += "S" if i == 0 else "KS"
-            n = 2 if nxt in ("C", "X") else 1
-        elif c == "Z":
-            out, n = out + "S", 2 if nxt == "Z" else 1
-        i += n
+    """Empty for a term without letters, which then sounds like nothing."""
+    word = re.sub("[^A-Z]", "", (term or "").translate(_UPPER))
+    out, at = "", 1 if word.startswith(SILENT) else 0
+    while at < len(word) and len(out) < LONGEST:
+        for rule, sound, length in _READ[word[at]]:
+            if found := rule.match(word, at):
+                out, at = out + sound, at + (length or len(found[0]))
+                break
     return out[:LONGEST]
 
 
+_UPPER = str.maketrans("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def code_udf():
     import pandas as pd
 

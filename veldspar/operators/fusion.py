@@ -1,12 +1,17 @@
-"""Hybrid fusion of a vector and a lexical list of (doc_id, score)."""
+"""Hybrid fusion of a vector and a lexical list of (doc_id, score). Lists are whole, of any length."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ALPHA, RULES_ALPHA, RRF_K, GAIN = 0.7, 0.4, 60, 32
+RARE_DF = 5
+#: Rows that one task ranks.
+RANGE_ROWS = 200_000
 
 
 def check_alpha(alpha: float) -> float:
@@ -15,32 +20,72 @@ def check_alpha(alpha: float) -> float:
     return float(alpha)
 
 
-def rrf(vector: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:
-    """(doc_id, score): reciprocal ranks summed over the lists. The lists are top-k lists of a request, so one window each is bounded."""
-    parts = None
-    for leg in (vector, lexical):
-        ranked = leg.select("doc_id", (1.0 / (k + F.row_number().over(W.orderBy(F.desc("score"), F.asc("doc_id"))))).alias("part"))
-        parts = ranked if parts is None else parts.union(ranked)
-    return parts.groupBy("doc_id").agg(F.sum("part").alias("score"))
+class Signals(NamedTuple):
+    """What a request's shape says about how exact it is."""
+
+    quoted_phrase: bool = False
+    rarest_df: int | None = None
+    identifier: bool = False
+
 
+def is_identifier(term: str) -> bool:
+    return any(c.isdigit() for c in term) or any(c in "_-.#@" for c in term)
 
-def _degenerate(leg: DataFrame) -> bool:
-    """Empty, a single hit, or all scores equal: nothing to normalise by."""
-    r = leg.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("a"), F.max("score").alias("b")).first()
-    return r.n < 2 or r.a == r.b
+
+def effective_alpha(alpha: float | None = None, signals: Signals | None = None) -> tuple[float, list[str]]:
+    """(alpha, names of the rules that apply). The caller's own alpha always holds; rules are only asked for with signals."""
+    if alpha is not None:
+        return check_alpha(alpha), []
+    if signals is None:
+        return ALPHA, []
+    rules = {"quoted_phrase": signals.quoted_phrase, "rare_exact_token": signals.rarest_df is not None and signals.rarest_df <= RARE_DF, "identifier_token": signals.identifier}
+    names = [n for n, applies in rules.items() if applies]
+    return (RULES_ALPHA if names else ALPHA), names
+
+
+def ranked(leg: DataFrame, rows: int | None = None) -> DataFrame:
+    """leg (doc_id, score) with `rank`, by score descending, then id.
+
+    Ranges of the score, cut at quantiles, are ranked task by task; what stands before a range is added from their counts, one row
+    a range. Ranges are as many as `rows`, the leg's length, asks for.
+    """
+    from ..sources.storage import stored
+
+    leg = stored(leg.select("doc_id", "score"), "leg")
+    rows = leg.count() if rows is None else rows
+    n = min(4096, -(-rows // RANGE_ROWS))
+    cuts = leg.agg(F.percentile_approx("score", [i / n for i in range(1, n)], 16 * n).alias("c")).first().c if n > 1 else []
+    part = F.lit(0)
+    for c in sorted(set(cuts or [])):
+        part = part - (F.col("score") > F.lit(c)).cast("int")
+    placed = leg.withColumn("part", part)
+    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    # one row a range, 4096 at most
+    inside = F.row_number().over(W.partitionBy("part").orderBy(F.desc("score"), F.asc("doc_id")))
+    return placed.withColumn("nth", inside).join(F.broadcast(before), "part").select("doc_id", "score", (F.col("before") + F.col("nth")).alias("rank"))
+
+
+def rrf(vector: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:
+    """(doc_id, score): reciprocal ranks summed over the lists."""
+    parts = [ranked(leg).select("doc_id", (1.0 / (k + F.col("rank"))).alias("part")) for leg in (vector, lexical)]
+    return parts[0].union(parts[1]).groupBy("doc_id").agg(F.sum("part").alias("score"))
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """Convex sum of the min-max normalised lists; a document that a list lacks adds 0 there. Falls back to rrf."""
+    """Convex sum of the min-max normalised lists; a document that a list lacks adds 0 there.
+
+    Falls back to rrf where a list is empty, has one hit or equal scores. Each list is computed once and stored.
+    """
+    from ..sources.storage import stored
+
     alpha = check_alpha(alpha)
-    if _degenerate(vector) or _degenerate(lexical):
-        return rrf(vector, lexical)
-    parts = None
-    for leg, weight in ((vector, alpha), (lexical, 1 - alpha)):
-        ends = leg.agg(F.min("score").alias("low"), F.max("score").alias("high"))
-        one = leg.join(F.broadcast(ends)).select("doc_id", (weight * (F.col("score") - F.col("low")) / (F.col("high") - F.col("low"))).alias("part"))
-        parts = one if parts is None else parts.union(one)
-    return parts.groupBy("doc_id").agg(F.sum("part").alias("score"))
+    legs = [stored(leg.select("doc_id", "score"), "leg") for leg in (vector, lexical)]
+    ends = [leg.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).first() for leg in legs]
+    if any(e.n < 2 or e.low == e.high for e in ends):
+        return rrf(*legs)
+    parts = [leg.select("doc_id", (F.lit(w) * (F.col("score") - F.lit(e.low)) / F.lit(e.high - e.low)).alias("part")) for leg, e, w in zip(legs, ends, (alpha, 1 - alpha), strict=True)]
+    return parts[0].union(parts[1]).groupBy("doc_id").agg(F.sum("part").alias("score"))
 
 
 def store_alpha(alpha: float) -> float:

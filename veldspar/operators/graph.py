@@ -36,6 +36,21 @@ class Graph:
     def lookup(self, var: str, value) -> DataFrame:
         return self.nodes.where(F.col(self.id) == F.lit(value)).select(F.col(self.id).alias(var))
 
+    def lookup_relationship(self, var: str, value, source: str, target: str) -> DataFrame:
+        """Bindings (var, source, target) of one relationship by its id."""
+        return self.rels.where(F.col("rel_id") == F.lit(value)).select(F.col("rel_id").alias(var), F.col("src").alias(source), F.col("dst").alias(target))
+
+    def get_nodes(self, ids: Sequence, columns: Sequence[str] | None = None) -> DataFrame:
+        """In the caller's order (column pos); repeated ids are repeated, unknown ones have found = false."""
+        from .documents import get
+
+        return get(self.nodes, ids, self.id, columns)
+
+    def get_relationships(self, ids: Sequence, columns: Sequence[str] | None = None) -> DataFrame:
+        from .documents import get
+
+        return get(self.rels, ids, "rel_id", columns)
+
     def edges(self, direction: str = "out", types: Sequence[str] = ()) -> DataFrame:
         """(_r, _s, _d): relationships as walked. Either way gives both directions, but a self-loop once."""
         rows = self.rels.where(F.col("type").isin(*types)) if types else self.rels
@@ -134,6 +149,16 @@ class Mutable:
         out = base.join(new, base[g.id] == new["_id"], "left").withColumn(name, F.when(F.col("_hit"), F.col("_v")).otherwise(F.col(name)))
         return Graph(out.select(*base.columns), g.rels, g.id)
 
+    def set_rel_property(self, targets: DataFrame, name: str) -> Graph:
+        """targets (rel_id, value): a null value removes the property."""
+        if name in ("rel_id", "src", "dst", "type"):
+            raise IntegrityError(f"{name} of a relationship can't be set")
+        new = targets.select(F.col("rel_id").alias("_id"), F.col("value").alias("_v"), F.lit(True).alias("_hit"))
+        g = self.graph
+        base = g.rels if name in g.rels.columns else g.rels.withColumn(name, F.lit(None).cast(targets.schema["value"].dataType))
+        out = base.join(new, base["rel_id"] == new["_id"], "left").withColumn(name, F.when(F.col("_hit"), F.col("_v")).otherwise(F.col(name)))
+        return Graph(g.nodes, out.select(*base.columns), g.id)
+
     def set_label(self, targets: DataFrame, label: str, on: bool = True) -> Graph:
         g = self.graph
         hit = targets.select(F.col("id").alias("_id"), F.lit(True).alias("_hit")).distinct()
@@ -175,3 +200,47 @@ def apply_keyed(keys: DataFrame, batch: DataFrame) -> DataFrame:
         .otherwise("refused")
     )
     return rows.withColumn("outcome", outcome).drop("_id", "_rev", "_gone")
+
+
+KEY = ["kind", "namespace", "key"]
+#: Changes in one keyed batch; a larger one is refused.
+MOST_CHANGES = 1_000_000
+
+
+@dataclass
+class KeyedGraph:
+    """Entities by external key: entities (kind, namespace, key, entity_id, revision, deleted, and their properties), live and deleted."""
+
+    entities: DataFrame
+
+    @classmethod
+    def empty(cls, spark, properties: str) -> KeyedGraph:
+        return cls(spark.createDataFrame([], f"kind string, namespace string, key string, entity_id long, revision long, deleted boolean, {properties}"))
+
+    def live(self) -> DataFrame:
+        return self.entities.where("not deleted")
+
+    def lookup(self, wanted: DataFrame) -> DataFrame:
+        """The live entities of the keys in wanted (kind, namespace, key)."""
+        return self.live().join(wanted.select(*KEY).distinct(), KEY, "left_semi")
+
+    def apply(self, batch: DataFrame, most: int = MOST_CHANGES) -> KeyedGraph:
+        """All of the batch or nothing: one refused change, or a key given twice, refuses it. Replays change nothing.
+
+        batch: as apply_keyed takes it, with the properties of what is created, put or recreated. A deleted entity keeps its key and revision.
+        """
+        from ..sources.storage import stored
+
+        marked = stored(apply_keyed(self.entities, batch), "keyed")
+        counts = marked.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*KEY).alias("keys"), F.sum((F.col("outcome") == "refused").cast("long")).alias("refused")).first()
+        if counts.n > most:
+            raise IntegrityError(f"a batch has at most {most} changes")
+        if counts.refused or counts["keys"] < counts.n:
+            raise IntegrityError(f"{counts.refused or 0} changes refused, {counts.n - counts['keys']} keys given more than once")
+        changed = marked.where("outcome <> 'replayed'")
+        properties = [c for c in self.entities.columns if c not in (*KEY, "entity_id", "revision", "deleted")]
+        gone = F.col("outcome") == "deleted"
+        kinds = dict(self.entities.dtypes)
+        new = changed.select(*KEY, "entity_id", F.col("revision").cast("long").alias("revision"), gone.alias("deleted"), *((F.when(~gone, F.col(p)) if p in changed.columns else F.lit(None)).cast(kinds[p]).alias(p) for p in properties))
+        kept = self.entities.join(changed.select(*KEY), KEY, "left_anti").select(*self.entities.columns)
+        return KeyedGraph(kept.unionByName(new.select(*self.entities.columns)))

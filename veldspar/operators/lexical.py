@@ -1,8 +1,8 @@
 """Lexical retrieval as a postings table: BM25, phrases, prefixes, fuzzy and phonetic terms.
 
 Postings are (term, doc_id, tf, positions) with document lengths and one row of store-wide statistics.
-A query is a small table of (term, boost, times); scoring joins it with the postings, so only the
-postings of its terms are read when they are stored by term.
+A query names its terms with their weights, which filter the postings; stored by term (sources.lexicon), only those of its
+terms are read. Terms that come from the vocabulary are a table that is joined.
 """
 
 from __future__ import annotations
@@ -24,14 +24,15 @@ def ascii_tokens(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings (term, doc_id, tf, positions), lengths (doc_id, len), stats (n, tokens, avgdl)."""
+    """postings (term, doc_id, tf, positions, and len where they are stored), lengths (doc_id, len), stats (n, tokens, avgdl), words (term, df) where they are stored."""
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    words: DataFrame | None = None
 
     def vocabulary(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return self.words if self.words is not None else self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def build(docs: DataFrame, text: str = "text", key: str = "doc_id", analyze: Callable[[Column], Column] = ascii_tokens) -> Index:
@@ -40,8 +41,11 @@ def build(docs: DataFrame, text: str = "text", key: str = "doc_id", analyze: Cal
     spread = rows.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
     postings = spread.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     lengths = rows.select("doc_id", F.size("tokens").cast("long").alias("len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens")).withColumn("avgdl", F.col("tokens") / F.col("n"))
-    return Index(postings, lengths, stats)
+    return Index(postings, lengths, stats_of(lengths))
+
+
+def stats_of(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens")).withColumn("avgdl", F.col("tokens") / F.col("n"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -52,22 +56,44 @@ def bm25(tf: Column, length: Column, avgdl: Column, n: Column, df: Column, k1: f
     return idf(n, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
 
 
-def query_terms(spark, terms: Sequence[str] | Sequence[tuple[str, float]]) -> DataFrame:
-    """(term, weight): each occurrence of a term counts, so a term given twice weighs twice."""
+def weights(terms: Sequence[str] | Sequence[tuple[str, float]]) -> dict[str, float]:
+    """Each occurrence of a term counts, so a term given twice weighs twice."""
     total: dict[str, float] = {}
     for t in terms:
         term, boost = t if isinstance(t, tuple) else (t, 1.0)
         total[term] = total.get(term, 0.0) + boost
-    return spark.createDataFrame(sorted(total.items()), "term string, weight double")
+    return total
 
 
-def scores(index: Index, terms: DataFrame, eligible: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """(doc_id, score) of the documents with any of the terms (term, weight); statistics stay store-wide under a filter."""
-    hits = index.postings.join(F.broadcast(terms), "term")  # a query's terms: bounded by the request and EXPANSIONS
-    found = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def query_terms(spark, terms: Sequence[str] | Sequence[tuple[str, float]]) -> DataFrame:
+    """(term, weight)."""
+    return spark.createDataFrame(sorted(weights(terms).items()), "term string, weight double")
+
+
+def scores(index: Index, terms: DataFrame | dict[str, float], eligible: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(doc_id, score) of the documents with any of the terms; statistics stay store-wide under a filter.
+
+    Terms that the request names, {term: weight}, are a filter on the postings and prune their files. Terms that the
+    vocabulary names, (term, weight), may be many: then Spark chooses the join.
+    """
+    hits, words = index.postings.drop("positions"), index.words
+    if isinstance(terms, dict):
+        if not terms:
+            return hits.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+        hits = hits.where(F.col("term").isin(*terms))
+        words = words.where(F.col("term").isin(*terms)) if words is not None else None
+        table = F.broadcast(query_terms(hits.sparkSession, list(terms.items())))  # as many rows as the request has terms
+    else:
+        table = terms
+    if words is None:
+        words = hits.join(table.select("term"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    table = table.join(words, "term")
+    rows = hits.join(F.broadcast(table) if isinstance(terms, dict) else table, "term")
     if eligible is not None:
-        hits = hits.join(eligible.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = hits.join(F.broadcast(found), "term").join(index.lengths, "doc_id").join(F.broadcast(index.stats))
+        rows = rows.join(eligible.select("doc_id").distinct(), "doc_id", "left_semi")
+    if "len" not in rows.columns:
+        rows = rows.join(index.lengths, "doc_id")
+    rows = rows.join(F.broadcast(index.stats))  # one row
     one = bm25(F.col("tf"), F.col("len"), F.col("avgdl"), F.col("n"), F.col("df"), k1, b)
     return rows.groupBy("doc_id").agg(F.sum(F.col("weight") * one).alias("score"))
 
@@ -78,11 +104,12 @@ def top_k(ranked: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     return ranked.orderBy(F.desc("score"), F.asc("doc_id")).limit(k)
 
 
-def field_scores(indexes: dict[str, tuple[Index, float]], terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def field_scores(indexes: dict[str, tuple[Index, float]], terms: dict[str, float], k1: float = K1, b: float = B) -> DataFrame:
     """BM25 over weighted fields: term counts and lengths are summed with their field's weight before saturation."""
     postings = lengths = None
     for index, weight in indexes.values():
-        p = index.postings.join(F.broadcast(terms), "term").select("term", "weight", "doc_id", (F.col("tf") * weight).alias("tf"))
+        asked = F.broadcast(query_terms(index.postings.sparkSession, list(terms.items())))  # as many rows as the request has terms
+        p = index.postings.where(F.col("term").isin(*terms)).join(asked, "term").select("term", "weight", "doc_id", (F.col("tf") * weight).alias("tf"))
         n = index.lengths.select("doc_id", (F.col("len") * weight).alias("len"))
         postings = p if postings is None else postings.unionByName(p)
         lengths = n if lengths is None else lengths.unionByName(n)
@@ -132,15 +159,14 @@ def _all(parts) -> Column:
 
 def phrase_scores(index: Index, phrase: Sequence[str], slop: int = 0) -> DataFrame:
     """A gate, then BM25 once for each of the phrase's terms."""
-    spark = index.postings.sparkSession
-    return scores(index, query_terms(spark, list(phrase)), phrase_documents(index, phrase, slop))
+    return scores(index, weights(list(phrase)), phrase_documents(index, phrase, slop))
 
 
 def prefix_terms(index: Index, prefix: str) -> DataFrame:
     """(term, weight) of every indexed term that begins with the prefix."""
     if not prefix:
         raise ValueError("an empty prefix")
-    return index.postings.where(F.col("term").startswith(prefix)).select("term").distinct().withColumn("weight", F.lit(1.0))
+    return index.vocabulary().where(F.col("term").startswith(prefix)).select("term").withColumn("weight", F.lit(1.0))
 
 
 def typeahead_terms(index: Index, terms: Sequence[str], prefix: str) -> DataFrame:
@@ -174,7 +200,7 @@ def fuzzy_terms(index: Index, term: str, most: int | None = None, same_first: bo
     if not 0 <= most <= 2:
         raise ValueError("at most 2 edits")
     d = F.levenshtein(F.col("term"), F.lit(term), most)
-    words = index.postings.where(F.length("term").between(len(term) - most, len(term) + most)).select("term").distinct().withColumn("d", d).where("d >= 0")
+    words = index.vocabulary().where(F.length("term").between(len(term) - most, len(term) + most)).select("term").withColumn("d", d).where("d >= 0")
     if same_first:
         words = words.where(F.substring("term", 1, 1) == term[:1])
     weight = F.element_at(F.array(*map(F.lit, FUZZY_BOOST)), F.col("d") + 1)
@@ -185,5 +211,5 @@ def phonetic_terms(index: Index, term: str) -> DataFrame:
     """(term, weight 0.25) of the indexed terms that sound like the term."""
     from ..functions.phonetic import code, code_udf
 
-    words = index.postings.select("term").distinct()
+    words = index.vocabulary().select("term")
     return words.where(code_udf()("term") == code(term)).select("term", F.lit(0.25).alias("weight")) if code(term) else words.where(F.lit(False)).select("term", F.lit(0.25).alias("weight"))

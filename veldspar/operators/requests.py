@@ -62,16 +62,15 @@ LexicalRequest = Terms | Phrase | Prefix | TermsWithPrefix | Fuzzy | Phonetic
 
 def lexical_scores(index: lexical.Index, request: LexicalRequest, eligible: DataFrame | None = None) -> DataFrame:
     """(doc_id, score) of all documents that match."""
-    spark = index.postings.sparkSession
     if isinstance(request, Phrase):
         if not request.terms:
             raise ValueError("an empty phrase")
         gate = lexical.phrase_documents(index, request.terms, request.slop)
         if eligible is not None:
             gate = gate.join(eligible.select("doc_id").distinct(), "doc_id", "left_semi")
-        return lexical.scores(index, lexical.query_terms(spark, list(request.terms)), gate)
+        return lexical.scores(index, lexical.weights(list(request.terms)), gate)
     if isinstance(request, Terms):
-        terms = lexical.query_terms(spark, list(request.terms))
+        terms = lexical.weights(list(request.terms))
     elif isinstance(request, Prefix):
         terms = lexical.prefix_terms(index, request.prefix)
     elif isinstance(request, TermsWithPrefix):
@@ -94,13 +93,15 @@ def search(
     predicate=None,
     ts_range: tuple | None = None,
     eligible: DataFrame | None = None,
-    alpha: float = fusion.ALPHA,
+    alpha: float | None = None,
+    rules: bool = False,
     tier: str = "unset",
     key: str = "doc_id",
     analyze: Callable[[Column], Column] = lexical.ascii_tokens,
 ) -> DataFrame:
     """(doc_id, score, vector_squared_l2, lexical_bm25), the k best: by vector, by text, or fused where both are given.
 
+    Without an alpha the default holds, or with `rules` the one that the request's shape asks for.
     Filters come before either leg's ranks; the statistics of BM25 and the vector ceiling stay those of all live rows.
     """
     if query is None and text is None:
@@ -122,4 +123,15 @@ def search(
     vec = vector.scored(rows.where(F.col("vector").isNotNull()).withColumnRenamed(key, "doc_id"), vector.literal(q)).select("doc_id", "score")
     if text is None:
         return vec.orderBy(F.desc("score"), F.asc("doc_id")).limit(k).select("doc_id", "score", (-F.col("score")).alias("vector_squared_l2"), none.alias("lexical_bm25"))
+    alpha, _ = fusion.effective_alpha(alpha, signals(text, index) if rules and alpha is None else None)
     return fusion.top_k(fusion.fuse_store(vec, lex, vector.ceiling(live, q), alpha), k)
+
+
+def signals(request: LexicalRequest, index: lexical.Index) -> fusion.Signals:
+    """The request's shape: a phrase, the least document frequency of its exact terms (0 for one that no document has), a term with letters and digits or joiners."""
+    terms = request.terms if isinstance(request, Terms | Phrase | TermsWithPrefix) else ()
+    rarest = None
+    if terms:
+        found = {r.term: r.df for r in index.vocabulary().where(F.col("term").isin(*terms)).collect()}  # as many rows as the request has terms
+        rarest = min(found.get(t, 0) for t in terms)
+    return fusion.Signals(isinstance(request, Phrase), rarest, any(fusion.is_identifier(t) for t in terms))

@@ -123,7 +123,7 @@ class Compiler:
             a, b = go(e[1]), go(e[2])
             if kind == "/" and not (self.real(e[1], rows) or self.real(e[2], rows)):
                 return F.call_function("div", a, b)
-            return {"+": lambda: F.concat(a, b) if self.text(e[1]) or self.text(e[2]) else a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b, "%": lambda: a % b}[kind]()
+            return {"+": lambda: F.concat(a, b) if self.textual(e[1], rows) or self.textual(e[2], rows) else a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b, "%": lambda: a % b}[kind]()
         if kind == "neg":
             return -go(e[1])
         if kind == "in":
@@ -186,6 +186,17 @@ class Compiler:
     def text(e: tuple) -> bool:
         return e[0] == "lit" and isinstance(e[1], str)
 
+    def textual(self, e: tuple, rows: Rows) -> bool:
+        """Whether an expression is known to be a string or a list, for which + joins."""
+        if e[0] == "param":
+            return isinstance(self.params.get(e[1]), str | list | tuple)
+        if e[0] == "+":
+            return self.textual(e[1], rows) or self.textual(e[2], rows)
+        if e[0] in ("list", "comprehension") or self.text(e):
+            return True
+        kind = dict(rows.df.dtypes).get(self.column(e)) or ""
+        return kind == "string" or kind.startswith("array")
+
     @staticmethod
     def compare(op: str, a: Column, b: Column, real: bool) -> Column:
         out = {"=": a == b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
@@ -211,7 +222,8 @@ class Compiler:
             exact = F.trim(x.cast("string")).try_cast("decimal(38,18)")
             return F.floor(F.abs(exact)).cast("long") * F.signum(exact.cast("double")).cast("long")
         if f == "tofloat":
-            return F.trim(x.cast("string")).try_cast("double")
+            out = F.trim(x.cast("string")).try_cast("double")
+            return F.when(~F.isnan(out) & (F.abs(out) != float("inf")), out)
         if f == "floor":
             return F.floor(x).cast("double")
         if f == "round":
@@ -409,6 +421,15 @@ class Compiler:
         for c in writes:
             if c[0] in ("set", "remove"):
                 for t in c[1]:
+                    if rows.kinds.get(t[1]) not in ("node", "rel"):
+                        raise CypherError(f"{t[1]} is neither a node nor a relationship")
+                    if rows.kinds[t[1]] == "rel":
+                        if t[0] == "label":
+                            raise CypherError("a relationship has no labels")
+                        value, kind = self.expr(t[3], rows), dict(g.rels.dtypes).get(t[2])
+                        targets = rows.df.select(F.col(f"`{t[1]}`").alias("rel_id"), (value.cast(kind) if kind else value).alias("value"))
+                        g = Mutable(g).set_rel_property(targets.where("rel_id is not null").dropDuplicates(["rel_id"]), t[2])
+                        continue
                     ids = rows.df.select(F.col(f"`{t[1]}`").alias("id")).where("id is not null")
                     if t[0] == "label":
                         g = Mutable(g).set_label(ids, t[2], c[0] == "set")

@@ -12,7 +12,7 @@ from ..operators import predicates as P
 from ..operators import requests as R
 from ..operators import vector as V
 from ..sources import tables as T
-from .retrieval import BEST, D2, QUERY, TOK, VALUES, bm25_sql, q
+from .retrieval import BEST, D2, QUERY, TOK, VALUES, bm25_sql, q, text_index
 
 queries: dict = {}
 sql: dict[str, str] = {}
@@ -72,8 +72,7 @@ def _live(spark, d):
 
 
 def _lexical(spark, d, request):
-    docs = T.read(spark, d, "documents").select("doc_id", "text")
-    return L.top_k(R.lexical_scores(L.build(docs), request), 10, 6)
+    return L.top_k(R.lexical_scores(text_index(spark, d), request), 10, 6)
 
 
 @query(bm25_sql("select 'of', 1.0 union all select 'the', 1.0", f"po.doc_id in (with t as (select doc_id, {TOK} w from documents), p as (select doc_id, unnest(range(1, len(w) + 1)) i, w from t) select doc_id from p where w[i] = 'of' and w[i + 1] = 'the')") + f" select doc_id, {ROUNDED} from bm order by round(score, 6) desc, doc_id limit 10")
@@ -109,7 +108,7 @@ def search_text_filtered(spark, d):
 def search_snippets(spark, d):
     """The best documents of a text search with their snippets. No SQL for the windows; they are tested by hand."""
     docs = T.read(spark, d, "documents").select("doc_id", "text")
-    best = L.top_k(L.scores(L.build(docs), L.query_terms(spark, ["worthless", "idiot"])), 20, 6)
+    best = L.top_k(L.scores(text_index(spark, d), L.weights(["worthless", "idiot"])), 20, 6)
     cut = snippets.snippet_udf(["worthless", "idiot"], config=analyzer.CODE)
     return docs.join(F.broadcast(best), "doc_id").select("doc_id", "score", cut("text").alias("s")).select("doc_id", "score", "s.window", "s.marks")  # best: 20 rows
 
@@ -119,7 +118,7 @@ def search_with_text(spark, d):
     from .retrieval import TERMS
 
     docs = T.read(spark, d, "documents").select("doc_id", "text", "lang")
-    best = L.top_k(L.scores(L.build(docs), L.query_terms(spark, TERMS)), 10, 6)
+    best = L.top_k(L.scores(text_index(spark, d), L.weights(TERMS)), 10, 6)
     return docs.join(F.broadcast(best), "doc_id").select("doc_id", "score", "lang", F.char_length("text").cast("long").alias("n_text"))  # best: 10 rows
 
 
@@ -133,7 +132,7 @@ def text_analysis(spark, d):
 @query()
 def text_sounds(spark, d):
     """Phonetic codes of the vocabulary. No SQL; tested by known names."""
-    words = L.build(T.read(spark, d, "documents").select("doc_id", "text")).vocabulary()
+    words = text_index(spark, d).vocabulary()
     return words.select("term", "df", phonetic.code_udf()("term").alias("code"))
 
 

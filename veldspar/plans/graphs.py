@@ -10,7 +10,7 @@ from ..operators import lexical as L
 from ..operators import vector as V
 from ..sources import tables as T
 from . import cypher
-from .retrieval import QUERY, TERMS, VALUES, D2, bm25_sql
+from .retrieval import QUERY, TERMS, VALUES, D2, bm25_sql, text_index
 
 queries: dict = {}
 sql: dict[str, str] = {}
@@ -104,41 +104,48 @@ twin(
 
 
 def searches(spark, d) -> dict:
-    """Procedures for CALL: each takes the call's values and the eligible ids."""
-    vectors = T.vectors(spark, d)
-    docs = T.read(spark, d, "documents").select("doc_id", "text")
+    """Procedures for CALL: each takes the call's values and the eligible ids. Only nodes of the graph are ranked."""
+    nodes = T.read(spark, d, "documents").select("doc_id")
+    vectors = T.vectors(spark, d).join(nodes, "doc_id", "left_semi")
     keep = lambda df, ids: df if ids is None else df.join(ids, "doc_id", "left_semi")
 
     def vector(values, ids):
         return V.top_k(keep(vectors, ids), V.literal(values[0]), values[1], digits=6).select("doc_id", "score")
 
     def text(values, ids):
-        return L.top_k(L.scores(L.build(docs), L.query_terms(spark, values[0].split()), ids), values[1], 6)
+        return L.top_k(L.scores(text_index(spark, d), L.weights(values[0].split()), ids), values[1], 6)
 
     def hybrid(values, ids):
         v = V.scored(keep(vectors, ids), V.literal(values[1])).select("doc_id", "score")
-        x = L.scores(L.build(docs), L.query_terms(spark, values[0].split()), ids)
+        x = L.scores(text_index(spark, d), L.weights(values[0].split()), ids)
         return H.top_k(H.fuse_store(v, x, V.ceiling(vectors, values[1]), 0.7), values[2], 6).select("doc_id", "score")
 
     return {"vector_search": vector, "text_search": text, "hybrid_search": hybrid}
 
 
 def _documents(spark, d) -> G.Graph:
-    docs = T.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array(F.lit("Document")).alias("labels"), "lang", "text")
-    return G.Graph(docs, T.relationships(spark, d).limit(0))
+    """Documents and their sources as nodes, and FROM relationships with the length as weight."""
+    docs = T.read(spark, d, "documents")
+    source = F.xxhash64("source").bitwiseOR(F.lit(-(2**63)))  # below all ids of documents
+    nodes = docs.select(F.col("doc_id").alias("id"), F.array(F.lit("Document")).alias("labels"), "lang", "text", F.lit(None).cast("string").alias("name"))
+    made = docs.where("source is not null").select(source.alias("id"), F.array(F.lit("Source")).alias("labels"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("text"), F.col("source").alias("name")).distinct()
+    rels = docs.where("source is not null").select(F.col("doc_id").alias("rel_id"), F.col("doc_id").alias("src"), source.alias("dst"), F.lit("FROM").alias("type"), F.col("n_chars").cast("double").alias("weight"))
+    return G.Graph(nodes.unionByName(made), rels)
 
 
 def _search(name: str, oracle: str, text: str, params: dict):
     query(oracle, f"cypher_{name}")(lambda spark, d: cypher.run(_documents(spark, d), text, params, searches(spark, d)))
 
 
-_search("vector_search", f"with h as (select vec_id, round(-{D2}, 6) score from embeddings order by score desc, vec_id limit 12) select vec_id as id, lang, score from h join documents on doc_id = vec_id", "CALL db.vector_search($q, 12) YIELD node, score RETURN node.id AS id, node.lang AS lang, score", {"q": QUERY})
+_search("vector_search", f"with h as (select vec_id, round(-{D2}, 6) score from embeddings where vec_id in (select doc_id from documents) order by score desc, vec_id limit 12) select vec_id as id, lang, score from h join documents on doc_id = vec_id", "CALL db.vector_search($q, 12) YIELD node, score RETURN node.id AS id, node.lang AS lang, score", {"q": QUERY})
 _search("text_search", bm25_sql(VALUES) + ", h as (select doc_id, round(score, 6) score from bm order by round(score, 6) desc, doc_id limit 12) select doc_id as id, lang, score from h join documents using (doc_id)", "CALL db.text_search($t, 12) YIELD node AS n, score RETURN n.id AS id, n.lang AS lang, score", {"t": " ".join(TERMS)})
 _search("eligible_search", f"with h as (select vec_id, round(-{D2}, 6) score from embeddings where vec_id in (select doc_id from documents where lang = 'de') order by score desc, vec_id limit 5) select vec_id as id, score from h", "MATCH (n:Document) WHERE n.lang = 'de' WITH collect(DISTINCT n) AS ids CALL db.vector_search($q, 5, ids) YIELD node, score RETURN node.id AS id, score", {"q": QUERY})
+_search("search_expand", f"with h as (select vec_id, round(-{D2}, 6) score from embeddings where vec_id in (select doc_id from documents) order by score desc, vec_id limit 12) select vec_id as id, source, n_chars::double as size, score from h join documents on doc_id = vec_id where source is not null", "CALL db.vector_search($q, 12) YIELD node, score MATCH (node)-[r:FROM]->(s:Source) RETURN node.id AS id, s.name AS source, r.weight AS size, score", {"q": QUERY})
+_search("search_group", bm25_sql(VALUES) + ", h as (select doc_id, round(score, 6) score from bm order by round(score, 6) desc, doc_id limit 40) select source, count(*) as n from h join documents using (doc_id) where source is not null group by 1", "CALL db.text_search($t, 40) YIELD node AS n, score MATCH (n)-[:FROM]->(s) RETURN s.name AS source, count(n) AS n", {"t": " ".join(TERMS)})
 _search(
     "hybrid_search",
-    bm25_sql(VALUES) + f""", c as (select pow(max(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))) + {sum(x * x for x in QUERY) ** 0.5!r}, 2) ceil from embeddings),
-    t as (select max(score) top from bm), v as (select vec_id doc_id, {D2} d2 from embeddings),
+    bm25_sql(VALUES) + f""", c as (select pow(max(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))) + {sum(x * x for x in QUERY) ** 0.5!r}, 2) ceil from embeddings where vec_id in (select doc_id from documents)),
+    t as (select max(score) top from bm), v as (select vec_id doc_id, {D2} d2 from embeddings where vec_id in (select doc_id from documents)),
     f as (select doc_id, {H.store_alpha(0.7)!r} * coalesce(1 - d2 / ceil, 0) + (1 - {H.store_alpha(0.7)!r}) * coalesce(score, 0) / top s from (select coalesce(v.doc_id, bm.doc_id) doc_id, d2, score from v full join bm on v.doc_id = bm.doc_id), c, t)
     select doc_id as id, round(s, 6) score from f order by round(s, 6) desc, doc_id limit 12""",
     "CALL db.hybrid_search($t, $q, 12) YIELD node, score RETURN node.id AS id, score", {"t": " ".join(TERMS), "q": QUERY},
@@ -151,6 +158,9 @@ def _after(name: str, oracle: str, text: str, read: str, params: dict | None = N
 
 _after("set_property", "select c_custkey::bigint as key, case when c_acctbal < 0 then 'DEBT' else c_mktsegment end as segment from customer", "MATCH (c:Customer) WHERE c.balance < 0.0 SET c.segment = 'DEBT'", "MATCH (c:Customer) RETURN c.key AS key, c.segment AS segment")
 _after("remove_property", "select c_custkey::bigint as key, case when c_acctbal < 0 then null else c_mktsegment end as segment from customer", "MATCH (c:Customer) WHERE c.balance < 0.0 REMOVE c.segment", "MATCH (c:Customer) RETURN c.key AS key, c.segment AS segment")
+_after("set_rel_property", "select n_name as name, count(*) as n from customer join nation on c_nationkey = n_nationkey where c_acctbal > 5000 group by 1", "MATCH (c:Customer)-[r:IN_NATION]->(n) WHERE c.balance > 5000.0 SET r.weight = 1.5", "MATCH (c)-[r:IN_NATION]->(n) WHERE r.weight = 1.5 RETURN n.name AS name, count(r) AS n")
+_after("remove_rel_property", "select count(*) filter (o_totalprice <= 200000) as n, count(*) as rels from orders", "MATCH (c)-[r:PLACED]->(o) WHERE r.weight > 200000.0 REMOVE r.weight", "MATCH ()-[r:PLACED]->() RETURN count(r.weight) AS n, count(r) AS rels")
+_after("set_rel_keeps_nodes", "select count(*) as n from customer where c_acctbal > 0", "MATCH (c:Customer)-[r:IN_NATION]->() SET r.balance = -1.0", "MATCH (c:Customer) WHERE c.balance > 0.0 RETURN count(c) AS n")
 _after("set_label", "select c_custkey::bigint as key from customer where c_acctbal > 9000", "MATCH (c:Customer) WHERE c.balance > 9000.0 SET c:Rich", "MATCH (c:Rich) RETURN c.key AS key")
 _after("detach_delete", "select count(*) as n from customer join orders on o_custkey = c_custkey where c_nationkey <> 3", "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE n.key = 3 DETACH DELETE c", "MATCH (:Customer)-[r:PLACED]->() RETURN count(r) AS n")
 _after("create", "select n_name as name, count(*) as n from nation join customer on n_nationkey = c_nationkey where c_acctbal > 9900 group by 1", "MATCH (c:Customer)-[:IN_NATION]->(n) WHERE c.balance > 9900.0 CREATE (n)-[:HOSTS]->(:Note {name: 'rich'})", "MATCH (n:Nation)-[:HOSTS]->(x:Note {name: 'rich'}) RETURN n.name AS name, count(x) AS n")
@@ -165,3 +175,40 @@ def graph_apply_outcomes(spark, d):
     batch = o.select(F.lit("node").alias("kind"), F.lit("ns").alias("namespace"), text.alias("key"), op.alias("op"), F.col("k").alias("entity_id"), F.when(F.col("k") % 4 == 2, 4).otherwise(3).alias("revision"), F.when(F.col("k") % 4 == 3, -1).otherwise(F.col("k")).alias("expected"))
     batch = batch.withColumn("revision", F.when(F.col("entity_id") % 4 == 3, 2).otherwise(F.col("revision")))
     return G.apply_keyed(keys, batch).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with i as (select unnest([3, 1, 9999999, 3])::bigint k, unnest([0, 1, 2, 3])::bigint pos) select pos, o_totalprice as weight, o_orderkey is not null as found from i left join orders on o_orderkey = k")
+def graph_get_relationships(spark, d):
+    return T.business_graph(spark, d).get_relationships([T.PLACED + k for k in (3, 1, 9_999_999, 3)]).select("pos", "weight", "found")
+
+
+@query("select o_custkey::bigint as customer, o_orderkey::bigint as placed from orders where o_orderkey = 7")
+def graph_lookup_relationship(spark, d):
+    found = T.business_graph(spark, d).lookup_relationship("r", T.PLACED + 7, "c", "o")
+    return found.select((F.col("c") - T.CUSTOMER).alias("customer"), (F.col("o") - T.ORDER).alias("placed"))
+
+
+KEYED = """with k as (select n_nationkey::bigint i from nation), a as (
+    select i, 'nation-' || i as key, case when i % 3 = 1 then 2 else 1 end::bigint as revision, case when i % 3 = 1 then 'renamed' else 'first' end as name from k where i % 3 <> 2
+    union all select i + 100, 'new-' || i, 1, 'fresh' from k where i % 5 = 0)"""
+
+
+@query(KEYED + " select key, revision, name from a")
+def graph_apply_keyed(spark, d):
+    """A batch of keyed changes applied to a keyed graph, then read by key: of the nations a third is renamed and a third deleted; some are new."""
+    k = T.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
+    at = lambda rows, op, key, rev, name, expected="i": rows.select(F.lit("node").alias("kind"), F.lit("ns").alias("namespace"), F.concat(F.lit(key), F.col("i").cast("string")).alias("key"), F.lit(op).alias("op"), F.col("i").alias("entity_id"), F.lit(rev).cast("long").alias("revision"), F.col(expected).cast("long").alias("expected"), F.array(F.lit("Place")).alias("labels"), F.lit(name).alias("name"))
+    empty = G.KeyedGraph.empty(spark, "labels array<string>, name string")
+    first = empty.apply(at(k, "create", "nation-", 1, "first"))
+    fresh = k.where("i % 5 = 0").withColumn("i", F.col("i") + 100)
+    changes = at(k.where("i % 3 = 1"), "put", "nation-", 2, "renamed").unionByName(at(k.where("i % 3 = 2"), "delete", "nation-", 2, None))
+    changes = changes.unionByName(at(fresh, "create", "x", 1, "fresh").withColumn("key", F.concat(F.lit("new-"), (F.col("entity_id") - 100).cast("string"))))
+    return first.apply(changes).live().select("key", "revision", "name")
+
+
+@query("select c_custkey::bigint as key from customer where c_custkey in (1, 5, 9)")
+def graph_lookup_keys(spark, d):
+    """LookupKey: a table of (namespace, key) against the keys of the nodes."""
+    c = T.read(spark, d, "customer").select(F.lit("node").alias("kind"), F.lit("crm").alias("namespace"), F.col("c_name").alias("key"), F.col("c_custkey").alias("entity_id"), F.lit(1).cast("long").alias("revision"), F.lit(False).alias("deleted"))
+    wanted = T.read(spark, d, "customer").where("c_custkey in (1, 5, 9)").select(F.lit("node").alias("kind"), F.lit("crm").alias("namespace"), F.col("c_name").alias("key"))
+    return G.KeyedGraph(c).lookup(wanted).select(F.col("entity_id").alias("key"))

@@ -9,6 +9,7 @@ from ..operators import fusion as H
 from ..operators import lexical as L
 from ..operators import predicates as P
 from ..operators import vector as V
+from ..sources import lexicon
 from ..sources import tables as T
 
 QUERY = [((i * 37) % 17 - 8) / 8.0 for i in range(64)]
@@ -212,8 +213,12 @@ def chunk_tokens(spark, d):
     return docs.select("doc_id", F.col("c.start").cast("long").alias("start"), F.size("c.tokens").cast("long").alias("n_tokens"), F.element_at("c.tokens", 1).alias("first_token"))
 
 
-def _index(spark, d):
-    return L.build(T.read(spark, d, "documents").select("doc_id", "text"))
+def text_index(spark, d):
+    """The stored index of the documents' texts."""
+    return lexicon.of_table(spark, f"{d}/documents.parquet", T.read(spark, d, "documents").select("doc_id", "text"))
+
+
+_index = text_index
 
 
 @query(f"select count(*) n, sum(len({TOK}))::bigint tokens, round(sum(len({TOK})) / count(*), 6) avgdl from documents")
@@ -243,18 +248,18 @@ BEST = "select doc_id, round(score, 6) as score from bm order by score desc, doc
 
 @query(f"{bm25_sql(VALUES)} select doc_id, round(score, 6) as score from bm order by round(score, 6) desc, doc_id limit 10")
 def lex_bm25_topk(spark, d):
-    return L.top_k(L.scores(_index(spark, d), L.query_terms(spark, TERMS)), 10, 6)
+    return L.top_k(L.scores(_index(spark, d), L.weights(TERMS)), 10, 6)
 
 
 @query(bm25_sql(VALUES.replace("values ", "values ('idiot', 1.0), ")) + " select doc_id, round(score, 6) as score from bm order by round(score, 6) desc, doc_id limit 10")
 def lex_bm25_dup_terms(spark, d):
-    return L.top_k(L.scores(_index(spark, d), L.query_terms(spark, [*TERMS, "idiot"])), 10, 6)
+    return L.top_k(L.scores(_index(spark, d), L.weights([*TERMS, "idiot"])), 10, 6)
 
 
 @query(bm25_sql(VALUES, "po.doc_id in (select doc_id from documents where lang = 'fr')") + " select doc_id, round(score, 6) as score from bm order by round(score, 6) desc, doc_id limit 10")
 def lex_bm25_filtered(spark, d):
     french = T.read(spark, d, "documents").where("lang = 'fr'").select("doc_id")
-    return L.top_k(L.scores(_index(spark, d), L.query_terms(spark, TERMS), french), 10, 6)
+    return L.top_k(L.scores(_index(spark, d), L.weights(TERMS), french), 10, 6)
 
 
 @query(
@@ -268,9 +273,9 @@ def lex_bm25_filtered(spark, d):
 )
 def lex_bm25_fields(spark, d):
     docs = T.read(spark, d, "documents")
-    body = L.build(docs)
-    head = L.build(docs.select("doc_id", F.concat_ws(" ", "source", "lang").alias("text")))
-    return L.top_k(L.field_scores({"text": (body, 1.0), "head": (head, 2.5)}, L.query_terms(spark, ["src1", "en", "the"])), 10, 6)
+    body = _index(spark, d)
+    head = lexicon.of_table(spark, f"{d}/documents.parquet", docs.select("doc_id", F.concat_ws(" ", "source", "lang").alias("text")), "head")
+    return L.top_k(L.field_scores({"text": (body, 1.0), "head": (head, 2.5)}, L.weights(["src1", "en", "the"])), 10, 6)
 
 
 PHRASE = ["of", "the"]
@@ -314,12 +319,11 @@ def lex_fuzzy(spark, d):
 
 def _legs(spark, d):
     vector = V.scored(T.vectors(spark, d), q()).select("doc_id", "score")
-    lexical = L.scores(_index(spark, d), L.query_terms(spark, TERMS))
-    return vector.orderBy(F.desc("score"), "doc_id").limit(50), lexical.orderBy(F.desc("score"), "doc_id").limit(50)
+    lexical = L.scores(_index(spark, d), L.weights(TERMS))
+    return vector, lexical
 
 
-LEGS = bm25_sql(VALUES) + f""", lx as (select doc_id, score from bm order by score desc, doc_id limit 50),
-    vx as (select vec_id doc_id, -{D2} score from embeddings order by score desc, doc_id limit 50)"""
+LEGS = bm25_sql(VALUES) + f""", lx as (select doc_id, score from bm), vx as (select vec_id doc_id, -{D2} score from embeddings)"""
 
 
 @query(LEGS + """, p as (select doc_id, 1.0 / (60 + row_number() over (order by score desc, doc_id)) s from lx union all select doc_id, 1.0 / (60 + row_number() over (order by score desc, doc_id)) from vx)
@@ -337,7 +341,7 @@ def fuse_convex(spark, d):
 
 def _store_legs(spark, d):
     vector = V.scored(T.vectors(spark, d), q()).select("doc_id", "score")
-    return vector, L.scores(_index(spark, d), L.query_terms(spark, TERMS)), V.ceiling(T.vectors(spark, d), QUERY)
+    return vector, L.scores(_index(spark, d), L.weights(TERMS)), V.ceiling(T.vectors(spark, d), QUERY)
 
 
 NORM = sum(x * x for x in QUERY) ** 0.5
