@@ -421,14 +421,14 @@ def _pair(draw, word, similarity, n):
 
 
 def test_fuzzy_passages_against_brute_force(spark):
-    """Every passage found is one; with every seed all are found that have five equal words in a row, with one in three 98 of 100."""
+    """Every passage found is one; with every seed all are found that have five equal words in a row, with one in four 95 of 100 at least."""
     draw = random.Random(4)
     word = lambda: "w" + str(draw.randint(0, 50_000))
     texts = [t for s in (0.7, 0.8, 0.82, 0.85, 0.9, 0.95) for n in (50, 60, 80) for _ in range(5) for t in _pair(draw, word, s, n)]
     df = frame(spark, list(map(" ".join, texts)))
     wanted = [i for i in range(0, len(texts), 2) if _similar_windows(texts[i], texts[i + 1], chains.LEAST_WORDS, chains.SIMILARITY)]
     assert len(wanted) > 70
-    for density, share in ((1, 1.0), (chains.DENSITY, 0.98)):
+    for density, share in ((1, 1.0), (chains.DENSITY, 0.95)):
         got = table(chains.fuzzy_passages(df, density=density))
         assert sum(i in got and i + 1 in got for i in wanted) >= share * len(wanted)
         for i in (i for i in range(0, len(texts), 2) if i in got):  # with gaps it may be similar where no diagonal is
