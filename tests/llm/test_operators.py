@@ -515,7 +515,7 @@ def test_toxic_marks_carry_their_context():
     assert kinds("not a dolt") == ["In"] and kinds("she said you dolt") == ["Idr"]
     assert kinds("he said. a dolt") == ["I"] and kinds("kill them") == ["Td"] and kinds("you kill") == ["Td"]
     assert kinds("she said: you dolt") == ["Idr"] and kinds('he said, "you dolt"') == ["Idr"] and kinds("you dolt, he said") == ["Idr"]
-    assert kinds("kill") == ["T"] and kinds("dolt you are") == ["Id"] and kinds("a dolt, not one") == ["I"] and kinds("no one will kill you") == ["Td"]
+    assert kinds("kill") == ["T"] and kinds("dolt you are") == ["Id"] and kinds("a dolt, not one") == ["I"] and kinds("no one will kill you") == ["Tdn"]
 
 
 @pytest.mark.parametrize(("op", "label"), [(toxicity, "toxic"), (quality, "quality")])

@@ -108,7 +108,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], width:
     docs = docs.select(*keep, *([] if "text" in keep else ["text"]))
     range_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     carried = list(docs.columns)
-    so_far = "array<struct<start:bigint,stop:bigint>>"
+    so_far = {"_ranges": T.ArrayType(T.StructType().add("start", "long").add("stop", "long")), "_items": T.ArrayType(T.StringType())}
     items = benchmark.select(F.col("item_id").alias("i"), F.col("text").cast("binary").alias("t")).where("i is not null and t is not null")
     filters = _block_filters(items, block_bytes)
 
@@ -138,7 +138,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], width:
                     cols.append(pa.array([[{"start": a, "stop": b} for a, b in spans(t, r)] if r else [] for t, r in zip(texts, ranges, strict=True)], range_type))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *cols], [*keep, *new])
 
-        return rows.mapInArrow(run, common.schema_of(docs, keep, new) if finish else common.schema_of(docs, carried, {"_ranges": so_far, "_items": "array<string>"}))
+        return rows.mapInArrow(run, common.schema_of(docs, keep, new) if finish else common.schema_of(docs, carried, so_far))
 
     now = docs
     for n, chosen in enumerate(filters):
