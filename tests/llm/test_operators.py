@@ -161,6 +161,15 @@ def test_shards(spark):
     order = [r.doc_id if r.doc_id is not None else -1 for r in sorted(got, key=lambda r: (r.shard, r.slot))]
     assert order == sorted(order)
     assert shard.shard_by_bytes(empty(spark)).count() == 0
+    clash = spark.createDataFrame([(i, "t" * i, "p", 7, "b") for i in range(20)], "doc_id long, text string, part string, size int, before string")
+    out = shard.shard_by_bytes(clash, 4, ["doc_id", "part", "size", "before"])
+    assert out.columns == ["doc_id", "part", "before", "size", "text_crc32", "shard", "slot"] and {(r.part, r.before) for r in out.collect()} == {("p", "b")}
+
+
+def test_blocks_of_cuts(spark):
+    cuts = sorted(random.Random(5).sample(range(1000), 150))
+    got = spark.range(1000).withColumnRenamed("id", "doc_id").select("doc_id", shard._below(cuts, 16).alias("n")).collect()
+    assert all(r.n == sum(c < r.doc_id for c in cuts) for r in got)
 
 
 # exact dedup

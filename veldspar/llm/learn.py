@@ -24,8 +24,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int
     counts = {r.y: r.n for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [common.first_by_hash(marks.where(F.col("y") == y), counts.get(y, 0), per_class).select("doc_id", "y") for y in (0, 1)]
     ids = parts[0].union(parts[1]).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", "y")
-    # 2 * per_class ids at most: a proven bound
-    return docs.select("doc_id", "text").where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(ids), "doc_id")
+    # 2 * per_class ids at most: a proven bound. Rows that repeat an id count once, by their least text, so rows are bounded too
+    found = docs.select("doc_id", "text").where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:

@@ -16,7 +16,9 @@ With 25 bands of 5 values a pair at similarity 0.85 is missed with probability 4
 
 Defined cases: null and empty texts, or texts of white space, have an empty set (n_shingles 0) and link
 with nothing; texts of fewer words than a shingle are one shingle; rows that repeat a doc_id count
-as one document if their texts agree; rows without doc_id come back unlinked, with null component.
+as one document if their texts agree, and otherwise each row has the component of its own text, where a link of
+either text may count for both; rows without doc_id come back unlinked, with null component; an empty table
+gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ range adds the rest. A row belongs to the shard in which the middle of its bytes
 is within one row's size of the equal target.
 
 Defined cases: a null text has size 1 and crc32 of the empty text; null doc_ids come first; rows that
-repeat in all columns are told apart by nothing and take neighbouring slots; an empty table gives no rows.
+repeat in all columns are told apart by nothing and take neighbouring slots; an empty table gives no rows; doc_id is
+an integer; kept columns may have any names but those of the new ones, which take their place; very long texts are cut between, never within.
 """
 
 from __future__ import annotations
@@ -20,19 +21,31 @@ from . import common
 ROWS_A_RANGE = 200_000
 
 
+def _below(cuts: list[int], width: int = 64):
+    """How many of the sorted cuts are below doc_id, in two steps: among the first cuts of blocks, then within one block."""
+    blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    count = lambda items: F.size(F.filter(items, lambda c: c < F.col("doc_id")))
+    block = count(F.array(*(F.lit(b[0]) for b in blocks)))
+    inner = F.element_at(F.array(*(F.array(*map(F.lit, b)) for b in blocks)), F.greatest(block, F.lit(1)))
+    return F.greatest(block - 1, F.lit(0)) * width + count(inner)
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = 16, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of docs (doc_id by default), then size, text_crc32, shard and slot."""
-    keep = keep or ["doc_id"]
+    new = ["size", "text_crc32", "shard", "slot"]
+    keep = [k for k in keep or ["doc_id"] if k not in new]
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    narrow = docs.select(*keep, (F.length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"))
+    # other columns travel in one struct, so that none clashes with those of the plan
+    others = [k for k in keep if k != "doc_id"]
+    held = [F.struct(*(F.col(f"`{k}`") for k in others)).alias("_kept")] if others else []
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *held, (F.length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"))
     narrow = common.stored(narrow, "sizes")
     rows = narrow.count()
     ranges = min(4096, max(8, -(-rows // ROWS_A_RANGE) * 8))
     cuts = narrow.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], ranges * 16).alias("c")).first().c or []
     cuts = sorted(set(cuts))
     part = F.when(F.col("doc_id").isNull(), 0)
-    # binary search among the cuts, as one expression: how many cuts are below the id
-    part = part.otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) + 1) if cuts else part.otherwise(1)
+    part = part.otherwise(_below(cuts) + 1 if cuts else 1)
     placed = narrow.withColumn("part", part)
     totals = placed.groupBy("part").agg(F.sum("size").alias("bytes"))
     before = totals.select("part", (F.sum("bytes").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("bytes")).alias("before"), F.sum("bytes").over(W.partitionBy()).alias("all"))
@@ -46,4 +59,5 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, keep: list[str] | None = N
     starts = counts.select("part", "shard", (F.sum("n").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("start"))
     # at most ranges + shards rows, as ranges and shards are both contiguous
     out = inside.join(F.broadcast(starts), ["part", "shard"])
-    return out.select(*keep, "size", "text_crc32", "shard", (F.col("start") + F.col("nth") - 1).cast("long").alias("slot"))
+    kept = [F.col("doc_id") if k == "doc_id" else F.col("_kept").getField(k).alias(k) for k in keep]
+    return out.select(*kept, "size", "text_crc32", "shard", (F.col("start") + F.col("nth") - 1).cast("long").alias("slot"))
