@@ -27,7 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) one row of the largest doc_id stays; of rows without doc_id, one of each text that no other row has."""
     decided = exact.deduplicate(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     decided = decided.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_hash"), "kept", "n").where("n > 1 or not kept")
-    decided = common.stored(decided, "decided")
+    decided = common.stored(decided, "decided").hint("merge")  # grows with the corpus, so it isn't broadcast where it happens to be small
     rows = common.packed(docs).withColumn("_sha", exact.sha256(exact.normalised(F.col("text"))))
     same = lambda d: F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_hash"))
     out = rows.join(decided, same(decided), "left_anti")
