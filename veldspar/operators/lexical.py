@@ -66,8 +66,12 @@ def weights(terms: Sequence[str] | Sequence[tuple[str, float]]) -> dict[str, flo
 
 
 def query_terms(spark, terms: Sequence[str] | Sequence[tuple[str, float]]) -> DataFrame:
-    """(term, weight)."""
-    return spark.createDataFrame(sorted(weights(terms).items()), "term string, weight double")
+    """(term, weight), as one literal."""
+    rows = sorted(weights(terms).items())
+    if not rows:
+        return spark.createDataFrame([], "term string, weight double")
+    pairs = F.create_map(*(F.lit(x) for term, weight in rows for x in (term, float(weight))))
+    return spark.range(0, 1, 1, 1).select(F.explode(pairs).alias("term", "weight"))
 
 
 def scores(index: Index, terms: DataFrame | dict[str, float], eligible: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
