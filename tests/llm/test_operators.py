@@ -475,6 +475,78 @@ def test_fuzzy_passages_of_stock_phrases_against_all_pairs(spark):
         assert not words - {w for s in got[i].passages for w in range(s.start, s.stop)}, i
 
 
+def test_fuzzy_passages_of_a_common_line_against_all_pairs(spark, monkeypatch):
+    """One line stands in all documents; around it some pairs are similar without five equal words in a row, so that line is their only seed."""
+    draw = random.Random(31)
+    word = lambda: "w" + str(draw.randint(0, 50_000))
+    line, texts = [word() for _ in range(12)], []
+    for i in range(120):
+        before, after = [word() for _ in range(60)], [word() for _ in range(60)]
+        if i % 4 == 1 and i < 80:  # the one before, with every fifth word another
+            before, after = ([w if k % 5 else word() for k, w in enumerate(x)] for x in near)
+        near = before, after
+        texts.append([*before, *line, *after])
+    want = {i for i in range(80) if i % 4 < 2}
+    for block in (chains.BLOCK, 32):
+        monkeypatch.setattr(chains, "BLOCK", block)
+        got = table(chains.fuzzy_passages(frame(spark, list(map(" ".join, texts)), 0), density=1))
+        assert set(got) == want
+        assert {i: r.component_id for i, r in got.items()} == {i: i // 4 * 4 for i in want}
+
+
+def test_fuzzy_passages_of_a_large_family(spark):
+    """Near copies in a group of one hot seed after the other: one class, and the stretch that two of them alone share longer is covered."""
+    draw = random.Random(32)
+    word = lambda: "w" + str(draw.randint(0, 50_000))
+    core = [word() for _ in range(70)]
+    texts = [[*(word() for _ in range(40)), *core, *(word() for _ in range(40))] for _ in range(150)]
+    texts[90][110:125] = texts[30][110:125]
+    got = table(chains.fuzzy_passages(frame(spark, list(map(" ".join, texts)), 0)))
+    assert set(got) == set(range(150)) and {r.component_id for r in got.values()} == {0}
+    assert all(any(s.start <= 40 and s.stop >= (125 if i in (30, 90) else 110) for s in r.passages) for i, r in got.items())
+
+
+def test_meet_keeps_what_all_pairs_connect():
+    draw = np.random.default_rng(5)
+    n, width, mid = 90, 2 * chains.REACH + chains.WIDTH, chains.REACH
+    words = draw.integers(0, 2**32, (n, width), dtype=np.uint32)
+    words[:, mid : mid + chains.WIDTH] = 7
+    for i in range(0, 60):  # a chain of families, each of which has one stretch in common with the next
+        low = mid - (i % 4) * 16
+        words[i, low : low + 69] = np.random.default_rng(i // 20).integers(0, 2**32, 200, dtype=np.uint32)[low - 16 : low + 53]
+        words[i, mid : mid + chains.WIDTH] = 7
+    inside, docs = np.ones((n, width), bool), np.arange(n)
+
+    def linked(x, y):
+        found = [chains.align(words[x], words[y], [(mid, mid, chains.WIDTH)])]
+        return bool(found[0])
+
+    def classes(pairs):
+        up = list(range(n))
+        for _ in range(n):
+            for x, y in pairs:
+                up[x] = up[y] = min(up[x], up[y])
+        return up
+
+    want = classes([(x, y) for x in range(n) for y in range(x) if linked(x, y)])
+    for split in (0, 35):
+        got = [(x, y) for x, y in chains.meet(words, inside, docs, split, chains.LEAST_WORDS, chains.SIMILARITY).tolist() if linked(x, y)]
+        if split:
+            assert all(x < split <= y for x, y in got)
+            for part in (slice(0, 35), slice(35, n)):
+                more = chains.meet(words[part], inside[part], docs[part], 0, chains.LEAST_WORDS, chains.SIMILARITY) + (part.start or 0)
+                got += [(x, y) for x, y in more.tolist() if linked(x, y)]
+        assert classes(got) == want and len(set(want)) < n
+
+
+def test_fuzzy_passages_free_what_they_stored(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    draw = random.Random(33)
+    passage = " ".join("w" + str(draw.randint(0, 50_000)) for _ in range(70))
+    assert chains.fuzzy_passages(frame(spark, [passage + " one", passage + " two", "three"], 0)).count() == 2
+    assert {p.name.rsplit("-", 1)[0] for p in (tmp_path / "veldspar").iterdir()} <= {"heads", "texts-found"}
+
+
 def test_fuzzy_passages_of_odd_rows(spark):
     draw = random.Random(2)
     word = lambda: "w" + str(draw.randint(0, 50_000))
