@@ -622,6 +622,25 @@ def test_quality(spark):
     assert {x.score for x in table(quality.score(docs, none, ["doc_id"])).values()} == {0.5}
 
 
+def test_quality_learns_from_every_label(spark):
+    """Knots and threshold are order statistics of all rows, long texts too, and every row stands in a pair."""
+    draw = random.Random(8)
+    texts = [" ".join("Word" + str(draw.randint(0, 99)) for _ in range(draw.randint(5, 60))) + (". Good" if i % 3 else " ## 77 ##") * 3 for i in range(7000)]
+    texts[1] = "Long words. " * 4000
+    docs, labels = frame(spark, texts), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(7000)], "doc_id long, quality int")
+    r = quality.train(docs, labels, F.lit(True))
+    x = np.array([quality.features(t) for t in texts])
+    assert np.array_equal(r.knots, np.quantile(x, quality.KNOTS, axis=0, method="lower"))
+    assert np.allclose(r.scale, np.maximum(x.std(axis=0), 1e-6))
+    raw = np.sort(r.raw(x))
+    poor = sum(i % 3 == 0 for i in range(7000))
+    assert abs(r.threshold - (raw[poor - 1] + raw[poor]) / 2) < 1e-6
+    for y in ([1] * 7 + [0] * 2, [0] * 9 + [1], [1, 0]):
+        a, b = quality.pairs_of(np.array(y))
+        assert sorted({*a.tolist(), *b.tolist()}) == list(range(len(y))) and len(a) == len(b)
+
+
+
 def test_samples_are_bounded(spark):
     docs, labels = labelled(spark)
     assert learn.sample(docs, labels, "toxic", F.lit(True), 10).count() == 20
