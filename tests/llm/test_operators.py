@@ -504,6 +504,25 @@ def test_fuzzy_passages_of_a_large_family(spark):
     got = table(chains.fuzzy_passages(frame(spark, list(map(" ".join, texts)), 0)))
     assert set(got) == set(range(150)) and {r.component_id for r in got.values()} == {0}
     assert all(any(s.start <= 40 and s.stop >= (125 if i in (30, 90) else 110) for s in r.passages) for i, r in got.items())
+def test_matched_counts_as_common_does():
+    draw = np.random.default_rng(5)
+    for n, m in ((64, 64), (64, 5), (7, 64), (0, 64)):
+        a, b = draw.integers(0, 9, n).astype(np.uint32), draw.integers(0, 9, (40, m)).astype(np.uint32)
+        ia, ib = draw.random(n) < 0.8, draw.random((40, m)) < 0.8
+        got = chains._matched(a, ia, b, ib)
+        assert got.tolist() == [chains._common(a[ia], y[i]) for y, i in zip(b, ib, strict=True)]
+
+
+def test_places_with_equal_words_in_another_order_are_not_aligned(monkeypatch):
+    side = np.arange(chains.REACH, dtype=np.uint32)
+    other = side.reshape(-1, 2)[::-1].ravel()  # the same word pairs, last first: words and neighbours are shared, no passage is
+    words = np.stack([np.concatenate((x, 900 + np.arange(chains.WIDTH, dtype=np.uint32), 100 + x)) for x in (side, other)])
+    tried = []
+    monkeypatch.setattr(chains, "align", lambda *a, f=chains.align, **b: tried.append(a) or f(*a, **b))
+    assert not len(chains.meet(words, np.ones(words.shape, bool), np.array([1, 2]), 0, chains.LEAST_WORDS, chains.SIMILARITY))
+    assert not tried
+
+
 
 
 def test_meet_keeps_what_all_pairs_connect():
