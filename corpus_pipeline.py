@@ -1,7 +1,7 @@
 """A training corpus from `documents`: toxic texts go, then copies, near copies and benchmark leaks; what stays is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the next stage's docs. All but the last return the columns of documents.
+as the next stage's docs. All but the last return the columns of documents. Each begins with what memory the one before has left to it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ SIMILAR_PERCENT = 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.5 or more go. The grammar learns from the labelled documents that reach this stage."""
+    common.release(spark)
     grammar = toxicity.train(docs, common.table(spark, sf_dir, "labels"), F.lit(True))
     scored = toxicity.score(common.packed(docs), grammar, ["doc_id", "text", "_rest"])
     return common.unpacked(scored.where("predicted = 0"), docs)
@@ -25,6 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) one row of the largest doc_id stays; of rows without doc_id, one of each text that no other row has."""
+    common.release(spark)
     decided = exact.deduplicate(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     decided = decided.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_hash"), "kept", "n").where("n > 1 or not kept")
     decided = common.stored(decided, "decided").hint("merge")  # grows with the corpus, so it isn't broadcast where it happens to be small
@@ -38,18 +40,21 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that shingles of five words link at a similarity of 0.8, the document with the least doc_id stays. All rows of a doc_id share its fate."""
+    common.release(spark)
     gone = minhash.near_duplicates(docs, SIMILAR_PERCENT).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
     return common.unpacked(common.packed(docs).join(gone, F.col("doc_id") == F.col("_id"), "left_anti"), docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of ten words (or a whole shorter item) of the benchmark go."""
+    common.release(spark)
     out = decontaminate.decontaminate(common.packed(docs), common.table(spark, sf_dir, "benchmark"), ["doc_id", "text", "_rest"])
     return common.unpacked(out.where("not contaminated"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
+    common.release(spark)
     return bpe.digests(docs, VOCABULARY, public_tokenizers.PATTERN)
 
 

@@ -1,3 +1,4 @@
+import gc
 import random
 
 import duckdb
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from veldspar.llm import decontaminate, minhash, queries
+from veldspar.llm import common, decontaminate, minhash, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -90,3 +91,19 @@ def test_run(spark, corpus):
     kept = {r.doc_id for r in out.collect()}
     assert not {i for i in kept if i < 160 and i % 4 == 0} and 500 in kept and not kept & {505, 506}
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_begin_with_the_heap_given_back(spark, monkeypatch):
+    jvm, called = spark._jvm, []
+    heap = jvm.java.lang.Runtime.getRuntime()
+    held = [spark.sparkContext._gateway.new_array(jvm.long, 1 << 20) for _ in range(60)]
+    grown = heap.totalMemory()
+    del held
+    gc.collect()
+    common.release(spark)
+    assert heap.totalMemory() < grown
+    monkeypatch.setattr(common, "release", called.append)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, DATA)
+    assert called == [spark] * len(corpus_pipeline.STAGES)
