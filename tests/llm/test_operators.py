@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import zlib
 
@@ -332,6 +333,22 @@ def test_repeats_of_rows_that_share_or_lack_an_id(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(((rows[k][0], *v) for k, v in want.items()), key=repr)
 
 
+@pytest.mark.parametrize("most", [1500, 4])
+def test_repeats_leave_only_what_the_result_reads(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix, "MOST_MEMBERS", most)
+    draw, made, freed = random.Random(25), [], []
+    stored, free = common.stored, common.free
+    monkeypatch.setattr(common, "stored", lambda df, name: made.append((name, out := stored(df, name))) or out)
+    monkeypatch.setattr(common, "free", lambda session, *tables: freed.append(len(made)) or free(session, *tables))
+    part = "".join(draw.choice("abcdefgh") for _ in range(260))
+    texts = [part[draw.randint(0, 20) :] + "".join(draw.choice("abcdefgh") for _ in range(draw.randint(9, 90))) for _ in range(30)] + ["z" * 300] * 2
+    found = suffix.remove_repeats(frame(spark, texts))
+    there = {name for name, t in made if os.path.exists(t._veldspar_path.removeprefix("file:"))}
+    assert there == {"heads", "copies", "done"}
+    assert max(b - a for a, b in zip([0, *freed], [*freed, len(made)], strict=True)) <= 3  # the driver forgets finished plans after each step
+    assert {i: tuple(r)[1:] for i, r in table(found).items()} == brute_repeats(list(enumerate(texts)), 200)
+
+
 def test_no_repeats_of_nothing(spark):
     assert suffix.remove_repeats(empty(spark)).count() == 0
 

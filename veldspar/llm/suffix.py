@@ -220,35 +220,46 @@ def _parts(members: DataFrame, length: int, places, step: int) -> DataFrame:
 
 
 def _large_buckets(members: DataFrame, length: int) -> DataFrame:
-    """The same for buckets of many members, dealt by longer keys."""
-    names, last = ["h", "g", "k1", "k2"], length - SEED
+    """The same for buckets of many members, dealt by longer keys. Stored, as the parts are freed step by step."""
+    spark, names, last = members.sparkSession, ["h", "g", "k1", "k2"], length - SEED
     parts = common.stored(_parts(members.drop("m"), length, F.sequence(F.lit(0), F.lit(last), F.lit(STEP)), STEP), "parts")
     sizes = common.stored(parts.groupBy(*names).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "part-sizes")
-    parts = parts.join(sizes, names)
-    spans = _settled(parts.where(f"m <= {MOST_MEMBERS}"), length, names)
-    rest = parts.where(f"m > {MOST_MEMBERS}").select(*MEMBER, "h", F.col("g").alias("g0"))
+    common.free(spark)
+    sized = parts.join(sizes, names)
+    spans = common.stored(_settled(sized.where(f"m <= {MOST_MEMBERS}"), length, names), "part-spans")
+    common.free(spark)
+    rest = sized.where(f"m > {MOST_MEMBERS}").select(*MEMBER, "h", F.col("g").alias("g0"))
     windows = _parts(rest, length, F.sequence(F.col("g0"), F.least(F.col("g0") + STEP - 1, F.lit(last))), 1).select("id", "x", "p", "single", *names)
     again = common.stored(windows.groupBy(*names).agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "windows")
+    common.free(spark)
     whole = windows.where("single").join(again, names).groupBy("id", "x", "p").agg(F.max("g").alias("most"), F.min("g").alias("least"))
-    return spans.unionByName(whole.select("id", "x", (F.col("p") - F.col("most")).cast("long").alias("start"), (F.col("p") - F.col("least") + length).cast("long").alias("stop")))
+    whole = common.stored(whole.select("id", "x", (F.col("p") - F.col("most")).cast("long").alias("start"), (F.col("p") - F.col("least") + length).cast("long").alias("stop")), "window-spans")
+    common.free(spark, parts, sizes, again)
+    return spans.unionByName(whole)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(profiles of all rows; spans (id, x, start, stop))."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profiles of all rows; copies of each digest; spans (id, x, start, stop)), all stored.
+
+    After each step the driver forgets the plans that have ended; else what it holds of their tasks and exchanges grows with the partitions.
+    """
+    spark = docs.sparkSession
     found = common.stored(_profiles(docs, length), "anchors")
     copies = common.stored(found.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "copies")
     heads = common.stored(found.select(*KEY, "n_bytes", "digest", "sha256"), "heads")
+    common.free(spark)
     marks = found.select("id", "x", F.explode("anchors").alias("m")).select("id", "x", "m.*")
     # most seeds occur once: those are counted with partial sums and left behind before anything wider moves
     # counts are stored before they are joined, so that both sides of the join are exchanges that Spark can split at a hot seed
     again = common.stored(marks.groupBy("h").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("h"), "again")
+    common.free(spark)
     marks = common.stored(marks.join(again, "h"), "marks")
-    common.drop_stored(found)
+    common.free(spark, found, again)
     same = common.stored(marks.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "x", "p")).alias("first")), "same")
     buckets = common.stored(same.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "buckets")
+    common.free(spark)
     rows = common.stored(marks.join(same.join(buckets, "h"), ["h", "c"]), "rows")
-    for x in (marks, same):
-        common.drop_stored(x)
+    common.free(spark, marks, same, buckets)
     inside = rows.where("n > 1").select("id", "x", F.col("a").cast("long").alias("start"), (F.col("b") + length).cast("long").alias("stop"))
     fine = rows.where("m > 1 and (n = 1 or (first.id = id and first.x = x and first.p = p))")
     lists = fine.groupBy("id", "x").agg(F.collect_set(F.struct("h", "p", "a", "b", "m", (F.col("n") == 1).alias("single"))).alias("f"))
@@ -256,10 +267,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
         members = _texts_of(docs, lists, "lists").select("id", "x", F.col("text").alias("t"), F.explode("f").alias("f"))
         members = members.select("id", "x", "f.h", "f.p", "f.m", "f.single", F.expr("substring(t, f.a + 1, f.p - f.a)").alias("l"), F.expr(f"substring(t, f.p + 1, f.b + {length} - f.p)").alias("r"))
         members = common.stored(members, "members")  # more than once for rows that repeat in doc_id and text, which are copies anyway
-    spans = inside.unionByName(_settled(members.where(f"m <= {MOST_MEMBERS}"), length, ["h"]))
+    common.free(spark)
+    spans = common.stored(inside.unionByName(_settled(members.where(f"m <= {MOST_MEMBERS}"), length, ["h"])), "spans")
+    common.free(spark, rows)
     if not (large := members.where(f"m > {MOST_MEMBERS}")).isEmpty():
         spans = spans.unionByName(_large_buckets(large, length))
-    return heads.join(copies, "digest").select(*KEY, "n_bytes", "sha256", "copies"), spans
+    common.free(spark, members)
+    return heads, copies, spans
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -274,11 +288,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs; with_text adds `kept`, the remaining bytes."""
-    profiles, spans = repeated_spans(docs, length)
-    lists = spans.groupBy("id", "x").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    parts = profiles.withColumn("whole", F.expr(f"copies > 1 and n_bytes >= {length}"))
     empty = hashlib.sha256(b"").hexdigest()
-    cut = parts.where("not whole").join(lists, ["id", "x"]).select("id", "x", "spans")  # each such text stands in one row
     names = ["id", "x", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def run(batches):
@@ -292,9 +302,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary())], names)
 
-    with common.settings(docs.sparkSession, common.BLOOM):
-        raw = _texts_of(docs, cut, "cut").select("id", "x", "text", "spans")
-        done = common.stored(raw.mapInArrow(run, "id long, x long, n_removed long, n_spans long, kept_sha256 string, kept binary"), "done")
+    with common.scratch(docs.sparkSession) as keep:
+        heads, copies, spans = repeated_spans(docs, length)
+        parts = keep(heads).join(keep(copies), "digest").select(*KEY, "n_bytes", "sha256", "copies").withColumn("whole", F.expr(f"copies > 1 and n_bytes >= {length}"))
+        lists = spans.groupBy("id", "x").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+        cut = parts.where("not whole").join(lists, ["id", "x"]).select("id", "x", "spans")  # each such text stands in one row
+        with common.settings(docs.sparkSession, common.BLOOM):
+            raw = _texts_of(docs, cut, "cut").select("id", "x", "text", "spans")
+            done = keep(common.stored(raw.mapInArrow(run, "id long, x long, n_removed long, n_spans long, kept_sha256 string, kept binary"), "done"))
     changed = parts.where("not whole").join(done, ["id", "x"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "kept")
     whole = parts.where("whole").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"), F.lit(b"").alias("kept"))
     out = changed.unionByName(whole)
