@@ -542,6 +542,39 @@ def test_places_with_equal_words_in_another_order_are_not_aligned(monkeypatch):
 
 
 
+def _around(draw, n, equal):
+    """Surroundings of n places of one seed: words that differ from place to place but where `equal` says so."""
+    words = draw.integers(0, 2**32, (n, 2 * chains.REACH + chains.WIDTH), dtype=np.uint32)
+    words[:, equal] = words[0, equal]
+    words[:, chains.REACH : chains.REACH + chains.WIDTH] = 7
+    return words
+
+
+def test_places_with_too_few_words_in_any_stretch_are_not_aligned(monkeypatch):
+    n, tried = 40, []
+    words = _around(np.random.default_rng(6), n, np.arange(2 * chains.REACH + chains.WIDTH) % 4 < 2)  # half of the words in order, nowhere four in five
+    monkeypatch.setattr(chains, "align", lambda *a, f=chains.align, **b: tried.append(a) or f(*a, **b))
+    assert not len(chains.meet(words, np.ones(words.shape, bool), np.arange(n), 0, chains.LEAST_WORDS, chains.SIMILARITY))
+    assert len(tried) <= n  # of 780 pairs, one a place
+
+
+@pytest.mark.parametrize(("least", "similarity"), [(50, 0.8), (60, 0.83), (20, 0.9), (4, 0.8)])
+def test_bound_on_alignment_loses_no_passage(least, similarity):
+    draw = np.random.default_rng(7)
+    words, n = draw.integers(0, 4, (300, 2 * chains.REACH + chains.WIDTH)).astype(np.uint32), 4000
+    for k in range(1, 300):  # near copies of one another, with words lost and added
+        row = [w for w in words[k - 1].tolist() if draw.random() > 0.06] + [0] * 200
+        words[k] = [w if draw.random() > 0.06 else 5 + k for w in row[: words.shape[1]]]
+    words[:, chains.REACH : chains.REACH + chains.WIDTH] = 7
+    inside = np.abs(np.arange(words.shape[1]) - chains.REACH) <= draw.integers(chains.WIDTH, 2 * chains.REACH, (300, 1))
+    words[~inside] = 0
+    i, j = draw.integers(0, 300, n), draw.integers(0, 300, n)
+    may = chains._may_align(words, inside, i, j, least, similarity)
+    at = [int(x) for x in inside[:, : chains.REACH].sum(axis=1)]
+    found = [bool(chains.align(words[x][inside[x]], words[y][inside[y]], [(at[x], at[y], chains.WIDTH)], least=least, similarity=similarity)) for x, y in zip(i, j, strict=True)]
+    assert not (np.array(found) & ~may).any() and any(found)
+
+
 def test_meet_keeps_what_all_pairs_connect():
     draw = np.random.default_rng(5)
     n, width, mid = 90, 2 * chains.REACH + chains.WIDTH, chains.REACH
