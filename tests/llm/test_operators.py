@@ -575,6 +575,76 @@ def test_bound_on_alignment_loses_no_passage(least, similarity):
     assert not (np.array(found) & ~may).any() and any(found)
 
 
+def _runs_of_one_word(draw, n):
+    """Texts that have runs of the word 7 between stretches that some of them share, often with the word 7 close by."""
+    shared = [draw.integers(8, 11 if k % 2 else 60, 12).tolist() for k in range(6)]
+    texts = []
+    for _ in range(n):
+        text = []
+        for _ in range(draw.integers(1, 3)):
+            text += shared[draw.integers(6)][: draw.integers(4, 13)] + [7] * int(draw.integers(0, 5)) + draw.integers(8, 10**6, draw.integers(0, 9)).tolist() + [7] * int(draw.integers(5, 30))
+        texts.append(np.array(text + shared[draw.integers(6)], np.uint32))
+    return texts
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_of_one_word_meet_like_all_their_places(seed):
+    texts, least, similarity = _runs_of_one_word(np.random.default_rng(seed), 8), 22 + seed, 0.8
+    mid, rows, places = chains.REACH, [], []
+    for d, t in enumerate(texts):
+        at = [k for k in range(len(t) - 4) if (t[k : k + 5] == 7).all()]
+        places += [(d, k) for k in at]
+        for k in at:
+            if k - 1 not in at:
+                n = next((m for m in range(k, len(t)) if t[m] != 7), len(t)) - k
+                rows.append((d, k, n, t[max(0, k - mid) : k], t[k + n : k + n + mid]))
+    words, inside = np.zeros((len(rows), 2 * mid + chains.WIDTH), np.uint32), np.zeros((len(rows), 2 * mid + chains.WIDTH), bool)
+    for row, ok, (_, _, _, before, after) in zip(words, inside, rows, strict=True):
+        row[mid : mid + chains.WIDTH] = 7
+        row[mid - len(before) : mid], row[mid + chains.WIDTH : mid + chains.WIDTH + len(after)] = before, after
+        ok[mid - len(before) : mid + chains.WIDTH + len(after)] = True
+
+    def classes(pairs):
+        up = list(range(len(texts)))
+        for _ in texts:
+            for x, y in pairs:
+                up[x] = up[y] = min(up[x], up[y])
+        return up
+
+    links, want = set(), set()
+    for d, p in places:
+        for e, q in places:
+            if d < e and chains.align(texts[d], texts[e], [(p, q, chains.WIDTH)], least=least, similarity=similarity):
+                links.add((d, e))
+                want |= {(d, p), (e, q)}
+    docs, size = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    for split in (0, len(rows) // 2):
+        found, got = set(), set()
+        for part, halves in ((slice(0, len(rows)), split), *([(slice(0, split), 0), (slice(split, None), 0)] if split else [])):
+            for i, j, oi, oj, n in chains.meet_runs(words[part], inside[part], size[part], docs[part], halves, least, similarity).tolist():
+                (d, p, *_), (e, q, *_) = rows[part][i], rows[part][j]
+                assert d != e and oi + n <= size[part][i] and oj + n <= size[part][j]
+                assert chains.align(texts[d], texts[e], [(p + oi, q + oj, n)], least=least, similarity=similarity)
+                found.add((d, e))
+                got |= {(d, p + oi + k) for k in range(n - 4)} | {(e, q + oj + k) for k in range(n - 4)}
+        assert classes(found) == classes(links) and got == want and links
+
+
+def test_matches_of_a_run_of_one_word_grow_with_its_length_only(spark):
+    draw = random.Random(34)
+    word = lambda: "w" + str(draw.randint(0, 50_000))
+    texts = [" ".join([*(word() for _ in range(30)), *["of"] * (100 + i), *(word() for _ in range(30))]) for i in range(60)]
+    docs = frame(spark, texts, 0)
+    h, n = chains.seeds(common.hashed_words([b"of of of of of"])[0], np.array([5]), 1)[0].view(np.int64)[0], 60 * 96 + sum(range(60))
+    places = spark.createDataFrame([(int(h), i, list(range(30, 126 + i))) for i in range(60)], "h long, doc_id long, ps array<int>")
+    sizes = spark.createDataFrame([(int(h), n, 60)], "h long, n long, starts long")
+    ids = chains._profiles(docs, 1).where("p < 0").select("doc_id", "t")
+    found = chains._hot(docs, places, sizes, ids, chains.LEAST_WORDS, chains.SIMILARITY).collect()
+    assert {i for r in found for i in (r.a, r.b)} == set(range(60)) and len(found) < n  # all places of all runs were handed on before, each with a match of its own
+    got = table(chains.fuzzy_passages(docs, density=1))
+    assert {r.component_id for r in got.values()} == {0} and all(got[i].n_covered >= 100 + i for i in range(60))
+
+
 def test_meet_keeps_what_all_pairs_connect():
     draw = np.random.default_rng(5)
     n, width, mid = 90, 2 * chains.REACH + chains.WIDTH, chains.REACH
