@@ -9,6 +9,7 @@ from veldspar.operators import lexical as L
 from veldspar.operators import predicates as P
 from veldspar.operators import requests as R
 from veldspar.operators import vector as V
+from veldspar.sources import lexicon
 
 
 def ids(df, column="x"):
@@ -91,6 +92,34 @@ def test_phrases(spark):
         L.prefix_terms(ix, "")
 
 
+ODD = [(1, "a A b, a"), (2, "\u212aa x\u00e9a \u0130a 7"), (3, None), (4, "  "), (5, "b a"), (None, "a"), (6, "tail")]
+
+
+@pytest.mark.parametrize("analyze", [L.ascii_tokens, lambda c: F.split(c, " ")])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_stored_index_is_that_of_the_rows(spark, tmp_path, monkeypatch, analyze, kind):
+    monkeypatch.setattr(lexicon, "BLOCK_BYTES", 8)
+    docs = spark.createDataFrame(ODD, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    rows = lambda df, *c: sorted(map(repr, df.select(*c).collect()))
+    want, got = L.build(docs, analyze=analyze), lexicon.write(docs, f"file://{tmp_path}/ix", analyze=analyze)
+    c = ["term", "doc_id", "tf", "positions"]
+    assert rows(got.postings, *c) == rows(want.postings.where("doc_id is not null"), *c) and rows(got.hits(), *c[:3]) == rows(got.postings, *c[:3])
+    assert rows(got.lengths, "doc_id", "len") == rows(want.lengths, "doc_id", "len") and got.stats.first() == want.stats.first()
+    assert rows(got.vocabulary(), "term", "df") == rows(want.postings.where("doc_id is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "df")
+
+
+def test_stored_index_counts_a_repeated_document_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a"), (2, "a"), (3, None)], "doc_id long, text string")
+    ix = lexicon.write(docs, f"file://{tmp_path}/ix")
+    assert {r.term: r.df for r in ix.vocabulary().collect()} == {"a": 2, "b": 1}
+    assert sorted((r.term, r.doc_id, r.tf, r.len, r.positions) for r in ix.postings.collect()) == [("a", 1, 2, 1, [0, 0]), ("a", 1, 2, 2, [0, 0]), ("a", 2, 1, 1, [0]), ("b", 1, 1, 1, [1]), ("b", 1, 1, 2, [1])]
+
+
+def test_stored_index_groups_a_block_where_it_is_read(spark, tmp_path):
+    lexicon.write(spark.range(50).selectExpr("id as doc_id", "concat('the w', id % 5) as text").coalesce(1), f"file://{tmp_path}/ix")
+    assert spark.read.parquet(f"file://{tmp_path}/ix/postings").count() == 6  # a row a term, not an entry
+
+
 def test_fusion(spark):
     leg = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, score double")
     a, b = leg((1, 3.0), (2, 2.0), (3, 1.0)), leg((1, 9.0), (4, 3.0))
