@@ -101,7 +101,8 @@ def search_vector_filtered(spark, d):
 def search_text_filtered(spark, d):
     from .retrieval import TERMS
 
-    return R.search(_live(spark, d), 10, text=R.Terms(tuple(TERMS)), predicate=P.Eq("lang", "de")).select("doc_id", F.round("score", 6).alias("score"))
+    docs = T.read(spark, d, "documents").select("doc_id", "text", "lang")  # a search by text alone reads no vectors
+    return R.search(docs, 10, text=R.Terms(tuple(TERMS)), index=text_index(spark, d), predicate=P.Eq("lang", "de")).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query()
