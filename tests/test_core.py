@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from veldspar.operators import lexical as L
 from veldspar.operators import predicates as P
 from veldspar.operators import requests as R
 from veldspar.operators import vector as V
+from veldspar.plans import extras
 from veldspar.sources import lexicon
 
 
@@ -198,6 +201,42 @@ def test_columns_of_functions(spark):
     assert df.select(bit4.encode_udf()(F.array(F.lit(1.0), F.lit(-1.0)).cast("array<float>")).alias("b")).first().b.codes == [12, 3]
 
 
+COUNTED = ["one two and three", "The 25 x1 KVCache C++ c# a-b. two", "two hundred five-six 007 Two", "\u6f22\u5b57\u304c \u30ab caf\u00e9 \u212a \u0130x ne\u0301e\u2019s", "and five and", "", None]
+
+
+@pytest.mark.parametrize("config", [analyzer.TEXT, analyzer.CODE, analyzer.Config(vocabulary={("two",): ("pair",)})])
+def test_counted_terms_are_those_of_the_tokens(config):
+    count = analyzer.counter(config)
+    for text in [*COUNTED, " ".join(filter(None, COUNTED)), "x".join(filter(None, COUNTED))]:
+        assert count(text) == Counter(t.term for t in analyzer.tokens(text, config))
+
+
+def test_term_counts_of_a_table(spark):
+    docs = spark.createDataFrame([(1, "a dog dogs"), (1, "dog"), (2, "dog two"), (None, "dog"), (3, None)], "doc_id long, text string")
+    for rows in (docs, docs.dropDuplicates(["doc_id"])):
+        want = rows.select("doc_id", F.explode(analyzer.terms_udf()("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)), F.count_distinct("doc_id"))
+        assert sorted(extras._term_counts(rows).collect()) == sorted(want.collect())
+    # no row of a document and a term is dealt out
+    assert "Expand" not in extras._term_counts(docs.where("doc_id > 1"))._jdf.queryExecution().toString()
+
+
+def test_chunks_make_the_tokens_once(spark):
+    df = spark.createDataFrame([("a b c d e f g",)], "t string").select(D.chunks(F.split("t", " "), 3, 1).alias("c"))
+    assert [(c.start, c.tokens) for c in df.first().c] == [(0, ["a", "b", "c"]), (2, ["c", "d", "e"]), (4, ["e", "f", "g"])]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_phonetic_terms_filter_a_stored_index(spark, tmp_path):
+    ix = lexicon.write(spark.createDataFrame([(1, "smyth jones"), (2, "smith")], "doc_id long, text string"), f"file://{tmp_path}/ix")
+    found = R.lexical_scores(ix, R.Phonetic("smith"))
+    assert ids(found, "doc_id") == [1, 2] and "smyth" in found._jdf.queryExecution().optimizedPlan().toString()  # named, not joined to all postings
+
+
+def test_a_search_by_text_reads_no_vectors(spark):
+    assert not [f for f in extras.search_text_filtered(spark, "/root/testdata/sf0.001").inputFiles() if "embeddings" in f]
+
+
 def test_requests(spark):
     docs = spark.createDataFrame([(1, "quick brown fox", [1.0, 0.0], "a"), (2, "quick smith", [0.0, 1.0], "b"), (3, "smyth", [0.9, 0.1], "a"), (4, None, None, None)], "doc_id long, text string, vector array<float>, tag string")
     ix = L.build(docs)
