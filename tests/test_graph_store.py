@@ -247,3 +247,38 @@ def test_streams(spark, tmp_path):
     q = ingest.windowed_counts(spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{tmp_path}/ev"), "1 hour", "10 minutes").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("w").select("event_type", "n", "total")) == [("x", 2, 3.0), ("y", 1, 3.0)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.fixture
+def pairs(spark):
+    """Nodes 1 to 6 of two kinds, all IN 9, one of them twice, and a loop."""
+    nodes = spark.createDataFrame([(i, ["A" if i < 4 else "B"], float(i)) for i in range(1, 7)] + [(9, ["N"], 0.0)], "id long, labels array<string>, w double")
+    rels = spark.createDataFrame([(10 + i, i, 9, "IN") for i in range(1, 7)] + [(20, 1, 9, "IN"), (21, 9, 9, "IN")], "rel_id long, src long, dst long, type string")
+    return G.Graph(nodes, rels)
+
+
+@pytest.mark.parametrize("pattern", ["(a)-[:IN]->(n)<-[:IN]-(b)", "(n)<-[:IN]-(a)-[:IN]->(b)", "(a)-[:IN]-(n)-[:IN]-(b)", "(a)<-[:IN]-(n)-[:IN]->(b)"])
+def test_cypher_counts_a_last_step_without_its_rows(pairs, pattern):
+    counted = cypher.run(pairs, f"MATCH {pattern} WHERE a.w > 1.0 RETURN count(*) AS n")
+    listed = cypher.run(pairs, f"MATCH {pattern} WHERE a.w > 1.0 RETURN a.id AS a, b.id AS b")
+    assert counted.first().n == listed.count()
+    by = cypher.run(pairs, f"MATCH {pattern} RETURN a.id AS a, count(*) AS n")
+    assert sorted(by.collect()) == sorted(cypher.run(pairs, f"MATCH {pattern} RETURN a.id AS a, count(b) AS n").collect())
+    assert "_r" not in _plan(counted).split("Join")[0] and "count(1)" in _plan(counted)
+
+
+def test_cypher_filters_before_it_multiplies(pairs):
+    found = cypher.run(pairs, "MATCH (a:A)-[:IN]->(n), (b:B)-[:IN]->(n) WHERE a.w > 2.0 AND b.w < 6.0 AND a.w < b.w RETURN a.w AS a, b.w AS b")
+    assert sorted(found.collect()) == [(3.0, 4.0), (3.0, 5.0)]
+    plan = _plan(found)
+    assert "Join Cross" not in plan and plan.count("Join") == 3  # one for each relationship and one for n: no product, no property is joined in
+
+
+def test_cypher_relationships_of_two_patterns_differ(pairs):
+    both = cypher.run(pairs, "MATCH (a)-[r:IN]->(n), (b)-[s:IN]->(n) RETURN a.id AS a, b.id AS b")
+    assert both.count() == 8 * 7
+    assert cypher.run(pairs, "MATCH (a:A), (b:B) WHERE a.w + 3.0 = b.w RETURN a.w AS a").count() == 3
