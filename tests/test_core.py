@@ -78,6 +78,24 @@ def test_bit4():
     assert bit4.encode(np.zeros(4))[1] == 0
 
 
+def test_batch_top_k_is_that_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(90, 6)), 1).astype(np.float32)
+    x[40:60] = x[:20]  # ties
+    x[60:] *= 1e4
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, vector array<float>")
+    queries = df.where("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query"))
+    pairs = df.crossJoin(queries).withColumn("score", F.round(-V.squared_l2(F.col("vector"), F.col("query")), 6))
+    want = {}
+    for r in pairs.collect():
+        want.setdefault(r.query_id, []).append((-r.score, r.doc_id))
+    want = sorted((q, d, -s, i + 1) for q, v in want.items() for i, (s, d) in enumerate(sorted(v)[:5]))
+    near = V.batch_top_k(df, queries, 5, digits=6)
+    assert sorted(map(tuple, near.select("query_id", "doc_id", "score", "nth").collect())) == want
+    assert "zip_with" not in near._jdf.queryExecution().toString()  # pairs are blocks, not rows
+
+
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, "a a a b c"), (2, "a d e f g"), (3, "h i j k l"), (4, "m n o p q")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in L.scores(L.build(docs), L.query_terms(spark, ["a"])).collect()}
